@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op1_packing", "op4_token_files")
+MODULES = ("op1_packing", "op4_token_files", "op6_sharding", "op8_decontamination")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
