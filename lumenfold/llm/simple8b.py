@@ -25,14 +25,13 @@ ESCAPE = 15
 HEAD = struct.Struct("<8sQQQQQ")
 
 
+_SHORT = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
+
+
 def bit_widths(ids: np.ndarray) -> np.ndarray:
-    width = np.zeros(ids.shape, np.uint8)
-    for b in range(64):
-        high = ids >> np.uint64(b)
-        if not high.any():
-            break
-        width += high != 0
-    return width
+    if not ids.size or ids.max() < 1 << 16:
+        return _SHORT[ids.astype(np.uint16)]
+    return sum((_SHORT[(ids >> np.uint64(16 * k)).astype(np.uint16)] + np.uint8(16 * k)) * (ids >> np.uint64(16 * k) > 0) * (ids >> np.uint64(16 * k) < 1 << 16) for k in range(4)).astype(np.uint8)
 
 
 def _choices(width: np.ndarray) -> np.ndarray:

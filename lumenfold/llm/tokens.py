@@ -13,7 +13,7 @@ from functools import lru_cache
 import regex
 from tokenizers import Tokenizer
 
-PIECES = 600_000
+PIECES = 800_000
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: The byte-level pre-tokenizer's pattern and the bytes that its alphabet keeps as they are.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,7 +43,7 @@ class TextEncoder:
         self.find = regex.compile(PATTERN).findall
         self.alphabet = _alphabet()
         self.pieces: dict[str, bytes | None] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # letters alone: after a blank; else as they are
         self.limit = pieces
 
     def _by_library(self, text: str) -> bytes:
@@ -51,15 +51,18 @@ class TextEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        key = word if word[0] == " " else "\x00" + word
+        found = self.words.get(key)
         if found is None:
-            mapped = "Ġ" + word[1:] if word[0] == " " and word.isascii() and word[1:].isalpha() else word.encode().decode("latin-1").translate(self.alphabet)
-            ids = [t.id for t in self.tokenize(mapped)]
             if len(self.words) >= self.limit:
                 self.words.clear()
-            found = self.words[word] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+            found = self.words[key] = self._coded(word.encode().decode("latin-1").translate(self.alphabet))
         return found
 
+    def _coded(self, mapped: str) -> bytes:
+        ids = [t.id for t in self.tokenize(mapped)]
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
@@ -94,8 +97,18 @@ class TextEncoder:
             if len(known) + len(new) > self.limit:
                 known.clear()
                 new = set(rest)  # a text of more pieces than the limit still fits by itself
+            words, coded = self.words, self._coded
+            if len(words) + len(new) > self.limit:
+                words.clear()
             for p in new:
-                known[p] = self._piece(p)
+                # A word, or one with a comma or full stop, which is most of them.
+                word = p if p.isalpha() else p[:-1]
+                if word.isalpha() and p.isascii() and (word is p or p[-1] in ",."):
+                    if (ids := words.get(word)) is None:
+                        ids = words[word] = coded("Ġ" + word)
+                    known[p] = ids if word is p else ids + self._word(p[-1])
+                else:
+                    known[p] = self._piece(p)
             return self.encode(text)
         except TypeError:
             return self._plain(text)
