@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op1_packing", "op2_toxicity", "op4_token_files", "op6_sharding", "op8_decontamination", "op9_quality")
+MODULES = ("op1_packing", "op2_toxicity", "op4_token_files", "op5_secrets", "op6_sharding", "op8_decontamination", "op9_quality")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
