@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.session import read_table, shared_path, ship
 
-SEGMENT = 2_000_000
+SEGMENT = 1_000_000
 END_ID = 0
 IMAGES = "part long, segment long, n_ids long, n_docs long, image binary"
 
