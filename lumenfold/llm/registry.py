@@ -7,7 +7,18 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("op1_packing", "op2_toxicity", "op4_token_files", "op5_secrets", "op6_sharding", "op8_decontamination", "op9_quality")
+MODULES = (
+    "op1_packing",
+    "op2_toxicity",
+    "op3_line_dedup",
+    "op4_token_files",
+    "op5_secrets",
+    "op6_sharding",
+    "op7_quality_rules",
+    "op8_decontamination",
+    "op9_quality",
+    "op10_near_dedup",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
