@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.llm.labelled import held_out, labelled_sample
 from lumenfold.llm.linear import Calibration, svm
@@ -226,7 +227,7 @@ def shaped(x: np.ndarray) -> np.ndarray:
 _scorers: dict[int, Scorer] = {}
 
 
-def _mapper(model):
+def _mapper(model, whole: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
         if not isinstance(fitted, float):
@@ -237,22 +238,30 @@ def _mapper(model):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
+                texts = part.column(2).field("text") if whole else part.column(2)
                 if isinstance(fitted, float):
                     p = np.full(part.num_rows, fitted)
                 else:
-                    p = fitted[1](shaped(_scorers[key].features(part.column(2).to_pylist())))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                    p = fitted[1](shaped(_scorers[key].features(texts.to_pylist())))
+                columns = [part.column(0), part.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns + [part.column(2)] * whole, ["doc_id", "held_out", "score", "predicted"] + ["row"] * whole)
 
     return score
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """documents (doc_id, text), labels (doc_id, toxic) -> doc_id, held_out, score, predicted; training reads source."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, whole: bool = False) -> DataFrame:
+    """documents (doc_id, text), labels (doc_id, toxic) -> doc_id, held_out, score, predicted.
+
+    whole: with the document's columns, in a struct `row` where their names clash with nothing.
+    """
     spark = docs.sparkSession
     ship(spark)
-    rows = labelled_sample(source if source is not None else docs, labels, "toxic", ~held_out(5, 0), sample)
+    rows = labelled_sample(docs, labels, "toxic", ~held_out(5, 0), sample)
     fitted = spark.sparkContext.broadcast(train([r["text"] for r in rows], np.array([r["label"] for r in rows], bool)))
-    return docs.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), "text").mapInArrow(_mapper(fitted), RESULT)
+    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if whole else F.col("text")
+    own = docs.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), given)
+    schema = T.StructType([*T.StructType.fromDDL(RESULT).fields, *own.schema.fields[2:][: int(whole)]])
+    return own.mapInArrow(_mapper(fitted, whole), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

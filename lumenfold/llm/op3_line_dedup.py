@@ -153,18 +153,19 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return found.groupBy("doc_id", "th").agg(F.collect_set(F.when(~F.col("near"), F.col("pos"))).alias("exact"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"))
 
 
-def remove_repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def remove_repeated(docs: DataFrame, threshold: int = THRESHOLD, names: tuple[str, str, str] = ("n_lines", "exact", "near")) -> DataFrame:
     """docs with the lines removed from text, then n_lines, exact and near (places of removed lines, from 0)."""
-    names = docs.columns
-    gone = cut(removals(docs, threshold).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("exact").alias("_x"), F.col("near").alias("_n")))
-    joined = docs.join(small(gone, 160), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
+    gone = cut(removals(docs.select("doc_id", "text"), threshold).toDF("__lf_doc", "__lf_hash", "__lf_exact", "__lf_near"))
+    joined = docs.join(small(gone, 160), F.col("doc_id").eqNullSafe(F.col("__lf_doc")) & (F.xxhash64("text") == F.col("__lf_hash")), "left")
     none = F.array().cast("array<int>")
-    own, drop = F.split("text", "\n"), F.concat(F.coalesce("_x", none), F.coalesce("_n", none))
+    exact, near = F.coalesce("__lf_exact", none), F.coalesce("__lf_near", none)
+    own, drop = F.split("text", "\n"), F.concat(exact, near)
     left = F.array_join(F.filter(own, lambda line, i: ~F.array_contains(drop, i)), "\n")
-    text = F.when(F.col("_d").isNull() & F.col("_h").isNull(), F.col("text")).otherwise(left)
-    return joined.select(*(text.alias("text") if n == "text" else F.col(n) for n in names), F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_lines"), F.array_sort(F.coalesce("_x", none)).alias("exact"), F.array_sort(F.coalesce("_n", none)).alias("near"))
+    text = F.when(F.size(drop) == 0, F.col("text")).otherwise(left)
+    kept = [text.alias("text") if n == "text" else F.col(f"`{n}`") for n in docs.columns]
+    return joined.select(*kept, F.when(F.col("text").isNull(), 0).otherwise(F.size(own)).cast("long").alias(names[0]), F.array_sort(exact).alias(names[1]), F.array_sort(near).alias(names[2]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_repeated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cleaned.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    return cleaned.select("doc_id", "n_lines", F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))

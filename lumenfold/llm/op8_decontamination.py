@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.session import read_table, ship
 
@@ -79,7 +80,7 @@ def find(tree: ahocorasick.Automaton, own: list[bytes]) -> list[tuple[int | None
     return [(item, a, b) for item in runs for a, b in runs[item]]
 
 
-def _scanner(items, window: int, last: bool):
+def _scanner(items, window: int, last: bool, whole: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = items.value
         key = hash((window, tuple(given)))
@@ -90,7 +91,7 @@ def _scanner(items, window: int, last: bool):
         for batch in batches:
             hits, n_words, n_hit, listed, spans = [], [], [], [], []
             earlier = batch.column(2).to_pylist()
-            for k, text in enumerate(batch.column(1)):
+            for k, text in enumerate(batch.column(1).field("text") if whole else batch.column(1)):
                 text = text.as_py()
                 own = words(text)
                 found = [(h["item"], h["first"], h["last"]) for h in earlier[k]] + find(tree, own)
@@ -107,27 +108,34 @@ def _scanner(items, window: int, last: bool):
                 spans.append([{"item_id": i, "start": at[a][0], "end": at[b][1]} for i, a, b in found])
             if last:
                 kinds = [pa.list_(pa.int64()), pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(listed, kinds[0]), pa.array(spans, kinds[1])], ["doc_id", "n_words", "n_hit", "items", "spans"])
+                columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(listed, kinds[0]), pa.array(spans, kinds[1])]
+                yield pa.RecordBatch.from_arrays(columns + [batch.column(1)] * whole, ["doc_id", "n_words", "n_hit", "items", "spans"] + ["row"] * whole)
             else:
                 kind = pa.list_(pa.struct([("item", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, kind)], ["doc_id", "text", "hits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, kind)], ["doc_id", "given", "hits"])
 
     return scan
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """documents (doc_id, text), items (item_id, text) -> RESULT; spans are offsets in code points, end exclusive."""
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES, whole: bool = False) -> DataFrame:
+    """documents (doc_id, text), items (item_id, text) -> RESULT; spans are offsets in code points, end exclusive.
+
+    whole: with the document's columns, in a struct `row` where their names clash with nothing.
+    """
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // most_bytes))
-    out = docs.select("doc_id", "text", F.lit(None).cast(HITS).alias("hits")).withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
+    given = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if whole else F.col("text")
+    out = docs.select("doc_id", given.alias("given"), F.array().cast(HITS).alias("hits"))
+    middle = T.StructType(out.schema.fields)
+    end = T.StructType([*T.StructType.fromDDL(RESULT).fields, *([T.StructField("row", middle["given"].dataType)] if whole else [])])
     for k in range(passes):
         mine = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         own = spark.sparkContext.broadcast([(r["item_id"], b" ".join(words(r["text"]))) for r in mine.collect()])
         last = k == passes - 1
-        out = out.mapInArrow(_scanner(own, window, last), RESULT if last else f"doc_id long, text string, hits {HITS}")
+        out = out.mapInArrow(_scanner(own, window, last, whole), end if last else middle)
     return out
 
 

@@ -94,11 +94,11 @@ def _mapper(model):
     return score
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """documents (doc_id, text), labels (doc_id, quality) -> doc_id, held_out, score, predicted; training reads source."""
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """documents (doc_id, text), labels (doc_id, quality) -> doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
     ship(spark)
-    rows = labelled_sample(source if source is not None else docs, labels, "quality", ~held_out(4, 2), sample)
+    rows = labelled_sample(docs, labels, "quality", ~held_out(4, 2), sample)
     fitted = spark.sparkContext.broadcast(train([r["text"] for r in rows], np.array([r["label"] for r in rows], bool)))
     return docs.select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "text").mapInArrow(_mapper(fitted), RESULT)
 
