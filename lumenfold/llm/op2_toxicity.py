@@ -32,13 +32,14 @@ from lumenfold.llm.linear import Calibration, svm
 from lumenfold.session import read_table, ship
 
 #: Labelled documents to train on at most.
-SAMPLE = 12_000
+SAMPLE = 8_000
 LANDMARKS = 160
 DECAY = 0.7
 SPAN = 6
 LETTERS = 64
 LONGEST = 40
 UNITS = 300_000
+CHUNK = 10_000
 #: Letters that digits and signs stand for inside a word.
 STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 STRIPPED = "\"'`.,;:!?()[]{}<>*#$%&|-_=+/\\~^@…“”‘’«»¡¿"
@@ -100,19 +101,18 @@ def vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     owner, code, value = vectors(landmarks)
-    dense = np.zeros((LETTERS**3, len(landmarks)), np.float32)
-    dense[code, owner] = value
-    used = np.flatnonzero(dense.any(axis=1))
-    place = np.full(LETTERS**3, -1)
+    used, at = np.unique(code, return_inverse=True)
+    place = np.full(LETTERS**3, -1, np.int32)
     place[used] = np.arange(len(used))
-    dense = dense[used]
+    dense = np.zeros((len(used), len(landmarks)), np.float32)
+    dense[at, owner] = value
     out = np.zeros((len(words), len(landmarks)))
-    for start in range(0, len(words), 2000):
-        o, c, v = vectors(words[start : start + 2000])
+    for start in range(0, len(words), 1000):
+        o, c, v = vectors(words[start : start + 1000])
         hit = place[c] >= 0
-        part = np.zeros((min(2000, len(words) - start), len(used)), np.float32)
+        part = np.zeros((min(1000, len(words) - start), len(used)), np.float32)
         part[o[hit], place[c[hit]]] = v[hit]
-        out[start : start + 2000] = part @ dense
+        out[start : start + 1000] = part @ dense
     return out
 
 
@@ -132,6 +132,8 @@ class Scorer:
             out = np.zeros(len(words))
             np.maximum.at(out, [i for i, _ in pieces], self.score([p for _, p in pieces]))
             return out
+        if len(words) > CHUNK:
+            return np.concatenate([self.score(words[k : k + CHUNK]) for k in range(0, len(words), CHUNK)])
         owner, code, weight = subsequences(words)
         raw = np.bincount(owner, self.table[code] * weight, len(words)) if len(owner) else np.zeros(len(words))
         # No norm is below that of a word without repeated subsequences, so few words need theirs.
@@ -156,9 +158,7 @@ class Scorer:
             known.clear()
             new = {t for found, _ in units for t in found}
         fresh = list(new)
-        for start in range(0, len(fresh), 50_000):
-            part = fresh[start : start + 50_000]
-            known.update(zip(part, self.score([t[1:] if t[0] == "\x01" else unit(t) for t in part]).tolist(), strict=True))
+        known.update(zip(fresh, self.score([t[1:] if t[0] == "\x01" else unit(t) for t in fresh]).tolist(), strict=True))
         out = np.zeros((len(texts), 3))
         for k, (found, n) in enumerate(units):
             first = second = 0.0
@@ -212,7 +212,7 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS):
         scorer = Scorer(table)
         wrong = [u for u in good if u not in odds]
         values = scorer.score(wrong)
-        worst = [wrong[i] for i in np.argsort(-values)[:1500] if values[i] > 0.35]
+        worst = [wrong[i] for i in np.argsort(-values, kind="stable")[:1500] if values[i] > 0.35]
         negatives = list(dict.fromkeys([*negatives, *worst]))
         if not worst:
             break
