@@ -1,10 +1,8 @@
-"""All queries over the reference tables with the SQL that gives the same rows."""
+"""All queries over the reference's own operators, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lumenfold.plans import evaluation, tables, tracing
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = tables.QUERIES | evaluation.QUERIES | tracing.QUERIES
+ORACLES = tables.ORACLES | evaluation.ORACLES | tracing.ORACLES
