@@ -32,12 +32,13 @@ from lumenfold.session import cut, read_table, ship
 WORDS = 5
 #: Links: MOST * intersection >= LEAST * union.
 LEAST, MOST = 85, 100
-TREES = 14
+TREES = 12
+SEEDS = 2
 DEPTH = 5
 LEAF = 24
-COORDINATES = 96
-#: Pairs whose sketches agree in a smaller share are not confirmed; over four standard deviations under the threshold.
-AGREE = 0.66
+COORDINATES = 128
+#: Pairs whose sketches agree in a smaller share are not confirmed; three and a half standard deviations under the threshold.
+AGREE = 0.74
 BROADCAST_BYTES = 24_000_000
 CHUNK_BYTES = 1_500_000
 
@@ -153,25 +154,28 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def nodes(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
-    """node, r, n (the node's classes), center (its smallest), dense (whether it's larger than a leaf) of end nodes."""
+def nodes(reps: DataFrame, first: int, last: int, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
+    """node, r, component, n (the node's classes), center (its smallest), dense (larger than a leaf) of end nodes.
+
+    reps: r, sketch, component. A node all of whose classes are known to be linked is closed: it has nothing to find.
+    """
     coordinate = lambda node, turn: F.pmod(F.xxhash64(node, F.lit(turn)), F.lit(COORDINATES)).cast("int")
     child = lambda node, turn: F.xxhash64(node, coordinate(node, turn), F.get("sketch", coordinate(node, turn)))
     twice = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(1000)) < 1000 * MOST // LEAST - 1000
-    rows, out = reps.select("r", "sketch", F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(t.cast("long")))).alias("node")), None
+    rows, out = reps.select("r", "component", "sketch", F.explode(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda t: F.xxhash64(t.cast("long")))).alias("node")), None
     for level in range(1, depth + 1):
         branch = F.explode(F.array_compact(F.array(child(F.col("node"), "one"), F.when(twice, child(F.col("node"), "other")))))
-        down = cut(rows.select("r", branch.alias("node")))
-        known = down.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("center")).where("n > 1")
+        down = rows.select("r", "component", branch.alias("node"))
+        known = down.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("center"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").drop("low", "high")
         sized = cut(down.join(known, "node"))
         large = F.col("n") > leaf
         ends = sized if level == depth else sized.where(~large)
-        ends = ends.select("node", "r", "n", "center", large.alias("dense"))
+        ends = ends.select("node", "r", "component", "n", "center", large.alias("dense"))
         out = ends if out is None else out.union(ends)
         rest = sized.where(large)
         if level == depth or rest.isEmpty():
             break
-        rows = rest.select("r", "node").join(reps, "r")
+        rows = rest.select("r", "node", "component").join(reps.select("r", "sketch"), "r")
     return out
 
 
@@ -224,13 +228,18 @@ def near_duplicates(docs: DataFrame, trees: int = TREES) -> DataFrame:
     classes = rows.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("r"), F.min("sketch").alias("sketch"))
     classes = cut(classes)
     reps = classes.select("r", "sketch")
-    ends = cut(nodes(reps, trees))
-    first = ends.where("r != center").select(F.col("center").alias("x"), F.col("r").alias("y")).distinct()
     # Rows of one doc_id with different texts are one document.
     repeated = rows.join(classes.select("print", "r"), "print").where("doc_id != r").select(F.col("r").alias("x"), F.col("doc_id").alias("y")).join(classes.select(F.col("r").alias("y")).distinct(), "y", "left_semi").distinct()
-    links = confirmed(first, reps, docs).union(repeated)
+    # The first trees hold each class against one other, the smallest that it meets.
+    seeds = cut(nodes(reps.withColumn("component", F.col("r")), 1, SEEDS))
+    links = confirmed(seeds.groupBy("r").agg(F.min("center").alias("x")).where("r != x").select("x", F.col("r").alias("y")), reps, docs).union(repeated)
+    known = cut(labelled(reps, components(links)))
+    ends = cut(nodes(known, 1, trees))
+    stars = ends.where("r != center").select(F.col("center").alias("x"), F.col("r").alias("y")).distinct()
+    stars = stars.join(known.select(F.col("r").alias("x"), F.col("component").alias("cx")), "x").join(known.select(F.col("r").alias("y"), F.col("component").alias("cy")), "y").where("cx <> cy").select("x", "y")
+    links = links.union(confirmed(stars, reps, docs))
     parts = cut(components(links))
-    split = labelled(ends, parts)
+    split = labelled(ends.drop("component"), parts)
     open_nodes = split.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("node")
     split = cut(split.join(open_nodes, "node", "left_semi"))
     ordered = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))

@@ -71,35 +71,39 @@ def keys(threshold: int) -> Column:
     return F.array(*out)
 
 
-def within(threshold: int) -> Column:
-    """Whether arrays of characters `a` and `b` are within that many edits."""
+def within(left: Column, right: Column, threshold: int) -> Column:
+    """Whether two texts are within that many edits."""
     width = 2 * threshold + 1
     band = (1 << width) - 1
     names = [f"r{d}" for d in range(threshold + 1)]
 
-    def masks(i: Column) -> Column:
+    def masks(a: Column, b: Column, i: Column) -> Column:
         """Bit k: b has a's character i, k - threshold places further on."""
-        bits = [F.when(F.get("b", F.greatest(i + k - threshold, F.lit(-1))) == F.get("a", i), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)]
+        bits = [F.when(F.get(b, F.greatest(i + k - threshold, F.lit(-1))) == F.get(a, i), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(width)]
         return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
-    def step(state: Column, i: Column) -> Column:
-        def update(m: Column) -> Column:
-            new: list[Column] = []
-            for d, name in enumerate(names):
-                r = state[name].bitwiseAND(m)
-                if d:
-                    less = state[names[d - 1]]
-                    r = r.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(band))
-                new.append(r)
-            return F.struct(*(r.alias(n) for r, n in zip(new, names, strict=True)))
+    def update(state: Column, m: Column) -> Column:
+        new: list[Column] = []
+        for d, name in enumerate(names):
+            r = state[name].bitwiseAND(m)
+            if d:
+                less = state[names[d - 1]]
+                r = r.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(band))
+            new.append(r)
+        return F.struct(*(r.alias(n) for r, n in zip(new, names, strict=True)))
 
+    start = F.struct(*(F.lit(sum(1 << (threshold + k) for k in range(d + 1))).alias(n) for d, n in enumerate(names)))
+
+    def walk(p: Column) -> Column:
+        a, b = p["a"], p["b"]
         # Without a live diagonal the rest of the line is skipped.
-        return F.when(state[names[-1]] == 0, state).otherwise(F.get(F.transform(F.array(masks(i)), update), F.lit(0)))
+        step = lambda state, i: F.when(state[names[-1]] == 0, state).otherwise(F.get(F.transform(F.array(masks(a, b, i)), lambda m: update(state, m)), F.lit(0)))
+        end = F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), start, step, lambda s: s[names[-1]])
+        return F.call_function("shiftright", end, F.size(b) - F.size(a) + threshold).bitwiseAND(F.lit(1)) == 1
 
-    start = F.struct(*(F.lit(sum(1 << (threshold + k) for k in range(d + 1))).alias(n) for d, n in enumerate(names)))
-    end = F.aggregate(F.sequence(F.lit(0), F.size("a") - 1), start, step, lambda s: s[names[-1]])
-    shift = F.size("b") - F.size("a") + threshold
-    return (F.abs(F.size("b") - F.size("a")) <= threshold) & (F.call_function("shiftright", end, shift).bitwiseAND(F.lit(1)) == 1)
+    # The characters are bound to a variable of the lambda, so they are split once a pair and not once a step.
+    characters = F.array(F.struct(F.split(left, "").alias("a"), F.split(right, "").alias("b")))
+    return F.when(F.abs(F.length(left) - F.length(right)) <= threshold, F.get(F.transform(characters, walk), F.lit(0))).otherwise(False)
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -127,7 +131,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     pairs = pairs.union(crowded(shared.where(F.col("size") > CROWD), texts, threshold)).distinct()
     side = lambda a, text, first: texts.select(F.col("id").alias(a), F.col("line").alias(text), F.col("first").alias(first))
     both = pairs.join(side("x", "lx", "fx"), "x").join(side("y", "ly", "fy"), "y").where("lx != ly")
-    checked = both.select("lx", "ly", "fx", "fy", F.split("lx", "").alias("a"), F.split("ly", "").alias("b")).where(within(threshold))
+    checked = both.where(within(F.col("lx"), F.col("ly"), threshold))
     near = checked.select(F.when(F.col("fx") > F.col("fy"), F.col("lx")).otherwise(F.col("ly")).alias("line")).distinct().select(*line_ids(), F.lit(True).alias("near"))
     repeated = all_lines.select(*line_ids(), place().alias("at")).groupBy("id", "id2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "id2", "first")
     return cut(repeated.join(near, ["id", "id2"], "full").select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near")))
