@@ -137,6 +137,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.tobytes() for own in sets_of(batch.column(1))], pa.binary())], ["r", "set"])
 
 
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.view(np.int64) for own in sets_of(batch.column(1))], pa.list_(pa.int64()))], ["r", "full"])
+
+
 def _confirm(least: int, most: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,6 +210,12 @@ def alike(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e) >= int(AGREE * COORDINATES)
 
 
+def linked(x: str, y: str):
+    """Whether two full sets are similar enough."""
+    both, either = F.size(F.array_intersect(x, y)), F.size(x) + F.size(y)
+    return (MOST * F.least(F.size(x), F.size(y)) >= LEAST * F.greatest(F.size(x), F.size(y))) & (MOST * both >= LEAST * (either - both))
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (x, y) of classes, those linked; both sketches are held against each other before the sets are."""
     side = lambda name: reps.select(F.col("r").alias(name), F.col("sketch").alias(f"s{name}"))
@@ -247,11 +258,15 @@ def near_duplicates(docs: DataFrame, trees: int = TREES) -> DataFrame:
     within = F.flatten(F.transform("m", lambda p: F.transform(F.filter("m", lambda q: (p["component"] != q["component"]) & (p["r"] < q["r"])), lambda q: F.struct(p["r"].alias("x"), q["r"].alias("y")))))
     second = groups.select(F.explode(F.array_distinct(within)).alias("p")).select("p.x", "p.y")
     dense = split.where("dense").join(reps, "r")
+    wanted = small(dense.select(F.col("r").alias("doc_id")).distinct(), 32)
+    full = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_arrays, "r long, full array<long>")
+    dense = dense.join(full, "r")
     home = labelled(split.where("dense").select("node", F.col("center").alias("r")).distinct(), parts).select("node", F.col("component").alias("home"))
-    strangers = dense.join(home, "node").where("component != home").select("node", F.col("r").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    others = dense.select("node", F.col("r").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"))
-    crossed = strangers.join(others, (strangers["node"] == others["node"]) & (F.col("ca") != F.col("cb")) & alike("sa", "sb")).select(*ordered("a", "b"))
-    links = links.union(confirmed(second.union(crossed).distinct(), reps, docs))
+    strangers = dense.join(home, "node").where("component != home").select("node", F.col("r").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.col("full").alias("fa"))
+    others = dense.select(F.col("node").alias("where"), F.col("r").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), F.col("full").alias("fb"))
+    # Sets are held against each other inside the join, so that only links come out of it.
+    crossed = strangers.join(others, (F.col("node") == F.col("where")) & (F.col("ca") != F.col("cb")) & alike("sa", "sb") & linked("fa", "fb")).select(*ordered("a", "b")).distinct()
+    links = links.union(confirmed(second.distinct(), reps, docs)).union(crossed)
     final = labelled(classes.select("print", "r"), components(links)).select("print", "component")
     joined = rows.drop("sketch").join(final, "print", "left")
     component = F.when(F.col("print").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.least("component", "doc_id"))
