@@ -32,14 +32,14 @@ from lumenfold.llm.linear import Calibration, svm
 from lumenfold.session import read_table, ship
 
 #: Labelled documents to train on at most.
-SAMPLE = 8_000
+SAMPLE = 5_000
 LANDMARKS = 160
 DECAY = 0.7
 SPAN = 6
 LETTERS = 64
 LONGEST = 40
-UNITS = 300_000
-CHUNK = 10_000
+UNITS = 200_000
+CHUNK = 4_000
 #: Letters that digits and signs stand for inside a word.
 STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 STRIPPED = "\"'`.,;:!?()[]{}<>*#$%&|-_=+/\\~^@…“”‘’«»¡¿"
@@ -147,6 +147,8 @@ class Scorer:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """For each text: highest unit, second highest, logarithm of its tokens."""
+        if len(texts) > 100:
+            return np.concatenate([self.features(texts[k : k + 100]) for k in range(0, len(texts), 100)])
         known, units = self.known, []
         for text in texts:
             tokens = (text or "").lower().split()
@@ -210,14 +212,15 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS):
         # Values are read against the bias: 1 is a unit on the positive margin, 0.5 on the boundary.
         table = table / max(1e-6, 2 * -bias if bias < 0 else 1.0)
         scorer = Scorer(table)
-        wrong = [u for u in good if u not in odds]
+        wrong = [u for u in (*common[:20_000], *rare[:: max(1, len(rare) // 60_000)]) if u not in odds]
         values = scorer.score(wrong)
         worst = [wrong[i] for i in np.argsort(-values, kind="stable")[:1500] if values[i] > 0.35]
         negatives = list(dict.fromkeys([*negatives, *worst]))
         if not worst:
             break
+    bad, good, common, rare = None, None, None, None
     x = Scorer(table).features(texts)
-    return table, Calibration(shaped(x), toxic.astype(float))
+    return table.astype(np.float32), Calibration(shaped(x), toxic.astype(float))
 
 
 def shaped(x: np.ndarray) -> np.ndarray:
