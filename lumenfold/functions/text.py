@@ -47,4 +47,4 @@ def spans(text: Column, pattern: Column) -> Column:
     kind = "array<struct<start: int, end: int>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
     step = lambda s, x: F.struct((s["at"] + x["gap"] + x["n"]).alias("at"), F.concat(s["spans"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["n"]).alias("end")))).alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(lengths, zero, step, lambda s: s["spans"])).otherwise(F.array().cast(kind))
+    return F.when(F.rlike(text, pattern), F.aggregate(lengths, zero, step, lambda s: s["spans"])).otherwise(F.array().cast(kind))

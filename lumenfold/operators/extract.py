@@ -55,8 +55,8 @@ def extract_methods(df: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("extracted_methods", F.array_sort(F.array_distinct(F.transform("__kept", lambda m: m["method"]))))
     everything = F.map_from_arrays(F.array(*map(F.lit, v.METHODS)), F.array(*map(in_category, v.METHODS)))
     rows = rows.withColumn("by_category", F.map_filter(everything, lambda _, ms: F.size(ms) > 0))
-    for c in FLAGGED:
-        rows = rows.withColumn(f"mentions_{c}", F.exists("__kept", lambda m, c=c: m["category"] == c))
+    mentioned = lambda c: F.exists("__kept", lambda m: m["category"] == c)
+    rows = rows.withColumns({f"mentions_{c}": mentioned(c) for c in FLAGGED})
     rows = rows.withColumn("mentions_data_inspection", F.col("__text").rlike("(?U)" + "|".join(v.INSPECTION)))
     return rows.drop("__text", "__found", "__wide", "__bounds", "__kept")
 

@@ -23,7 +23,7 @@ RESPONSES = (
     ("Do not use **UMAP**, but PAGA is fine.", ("paga",), False, True, False, False),
     ("Apply cell cycle scoring and k-means.", ("cell_cycle_scoring", "k-means"), True, False, True, False),
     ("Nothing to add.", (), False, False, False, False),
-    ("Monocle 3 would be wrong. Diffusion map is useful.", ("diffusion_map",), False, False, False, False),
+    ("Monocle3 would be wrong. Diffusion map is useful.", ("diffusion_map",), False, False, False, False),
     ("Don’t recommend t-SNE; PCA should be used first.", ("pca",), False, False, False, False),
 )
 
@@ -38,7 +38,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "source")
     texts = F.array(*(F.lit(r[0]) for r in RESPONSES))
     return d.select(
-        "doc_id", F.concat(F.lit("p"), (F.col("doc_id") % 4).cast("string")).alias("prompt_id"), F.col("source").alias("system"), F.col("doc_id").alias("pos"),
+        "doc_id", F.concat(F.lit("p"), F.expr("(doc_id div 7) % 4").cast("string")).alias("prompt_id"), F.col("source").alias("system"), F.col("doc_id").alias("pos"),
         (F.col("doc_id") % 13 != 5).alias("success"), F.get(texts, (F.col("doc_id") % 10).cast("int")).alias("text"),
     )
 
@@ -50,10 +50,10 @@ def _list(xs) -> str:
 PROMPTS_SQL = "prompts AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {repr(g) if g else 'NULL'}, {_list(t)}, {_list(f)})" for p, g, t, f in PROMPTS) + ") v(prompt_id, expected_geometry, ground_truth, failure))"
 RESULTS_SQL = (
     "said AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}', {_list(m)}, {c}, {j}, {y}, {n})" for i, (t, m, c, j, y, n) in enumerate(RESPONSES)) + ") v(k, text, extracted_methods, mentions_clustering, mentions_trajectory, mentions_cell_cycle, mentions_data_inspection)), "
-    "results AS (SELECT doc_id, 'p' || (doc_id % 4) AS prompt_id, source AS system, doc_id AS pos, doc_id % 13 <> 5 AS success, said.* EXCLUDE (k) FROM documents JOIN said ON doc_id % 10 = k)"
+    "results AS (SELECT doc_id, 'p' || ((doc_id // 7) % 4) AS prompt_id, source AS system, doc_id AS pos, doc_id % 13 <> 5 AS success, said.* EXCLUDE (k) FROM documents JOIN said ON doc_id % 10 = k)"
 )
 #: Normalised names, as the matching rule compares them.
-KEYS_SQL = "list_transform({}, x -> regexp_replace(regexp_replace(lower(trim(x)), '[_\\-\\s]+', '_', 'g'), '[^a-z0-9_]', '', 'g'))"
+KEYS_SQL = "[regexp_replace(regexp_replace(lower(trim(x)), '[_\\-\\s]+', '_', 'g'), '[^a-z0-9_]', '', 'g') FOR x IN {}]"
 JUDGED_SQL = (
     "judged AS (SELECT *, list_sort(list_intersect(own, want)) AS hits, list_sort(list_intersect(own, bad)) AS fails, CASE WHEN len(want) > 0 THEN len(list_intersect(own, want)) > 0 AND len(list_intersect(own, bad)) = 0 END AS matches FROM ("
     f"SELECT r.*, p.expected_geometry, list_distinct({KEYS_SQL.format('r.extracted_methods')}) AS own, list_distinct({KEYS_SQL.format('p.ground_truth')}) AS want, list_distinct({KEYS_SQL.format('p.failure')}) AS bad FROM results r LEFT JOIN prompts p USING (prompt_id)))"

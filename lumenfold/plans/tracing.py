@@ -102,12 +102,12 @@ def trace_summary(spark, sf):
     return t.summary(traces(spark, sf)).select("total", "success", "failure", "unjudged", F.col("backends")["local"].alias("local"), F.col("datasets")["en"].alias("en"))
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, E'\\n'), x -> regexp_matches(x, '\\S'))) AS steps, 50 + (length(text) // 4 + 1) AS total_tokens FROM documents")
+@query("SELECT doc_id, len([x FOR x IN string_split(text, E'\\n') IF regexp_matches(x, '\\S')]) AS steps, 50 + (length(text) // 4 + 1) AS total_tokens FROM documents")
 def trace_build(spark, sf):
     return traces(spark, sf).select("doc_id", F.size("steps").cast("long").alias("steps"), F.col("total_tokens").cast("long").alias("total_tokens"))
 
 
-@query("SELECT doc_id, CASE WHEN n < 2 THEN 'fewer than 2 steps' ELSE 'kept' END AS state FROM (SELECT doc_id, len(list_filter(string_split(text, E'\\n'), x -> regexp_matches(x, '\\S'))) AS n FROM documents)")
+@query("SELECT doc_id, CASE WHEN n < 2 THEN 'fewer than 2 steps' ELSE 'kept' END AS state FROM (SELECT doc_id, len([x FOR x IN string_split(text, E'\\n') IF regexp_matches(x, '\\S')]) AS n FROM documents)")
 def validate_traces(spark, sf):
     kept, refused = t.accepted(traces(spark, sf))
     return kept.select("doc_id", F.lit("kept").alias("state")).union(refused.select("doc_id", F.col("reason").alias("state")))
