@@ -76,7 +76,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, seg
     dealt.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text").mapInArrow(_writer(path, segment, end_id), IMAGES).write.parquet(folder)
 
 
-def _reader(end_id: int):
+def _reader(with_ids: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lumenfold.llm.simple8b import read_image
 
@@ -87,16 +87,14 @@ def _reader(end_id: int):
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 pieces = [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(starts + first, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) for x in pieces], pa.int64()), pa.array(pieces, pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = [pa.array(docs, pa.int64()), pa.array(starts + first, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) for x in pieces], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(pieces, pa.binary())] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     return read
 
 
-def read_token_files(spark: SparkSession, folder: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (little-endian unsigned 32-bit)."""
+def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit)."""
     ship(spark)
     images = spark.read.schema(IMAGES).parquet(folder)
     # One total a part, as many as the writing job had tasks; the ids themselves stay where they are.
@@ -107,10 +105,10 @@ def read_token_files(spark: SparkSession, folder: str, end_id: int = END_ID) ->
     first = spark.createDataFrame(starts, "part long, _before long")
     within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
     placed = images.select("part", "segment", within.alias("_within")).join(first, "part").select("part", "segment", (F.col("_before") + F.coalesce("_within", F.lit(0))).alias("_start"))
-    return images.select("part", "segment", "image").join(placed, ["part", "segment"]).select("_start", "image").mapInArrow(_reader(end_id), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return images.select("part", "segment", "image").join(placed, ["part", "segment"]).select("_start", "image").mapInArrow(_reader(with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "token-files")
     write_token_files(read_table(spark, sf_dir, "documents"), folder)
-    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_token_files(spark, folder, with_ids=False)

@@ -13,7 +13,7 @@ from functools import lru_cache
 import regex
 from tokenizers import Tokenizer
 
-PIECES = 450_000
+PIECES = 550_000
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: The byte-level pre-tokenizer's pattern and the bytes that its alphabet keeps as they are.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
