@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once a row, also where the body uses it inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import vocabulary as v
-from lumenfold.functions.text import method_key, plain, spans
+from lumenfold.functions.text import let, method_key, plain, spans
 
 FLAGGED = ("clustering", "trajectory", "cell_cycle", "spatial")
 MENTION = "array<struct<category: string, method: string, start: int, end: int>>"
@@ -28,7 +28,7 @@ def widest(found: Column) -> Column:
     """Distinct spans of mentions that lie in no other, by start."""
     own = F.array_sort(F.array_distinct(F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))))
     inside = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & ((a["start"] != b["start"]) | (a["end"] != b["end"]))
-    return F.filter(own, lambda a: ~F.exists(own, lambda b: inside(a, b)))
+    return let(own, lambda all_of: F.filter(all_of, lambda a: ~F.exists(all_of, lambda b: inside(a, b))))
 
 
 def rejected(text: Column, bounds: Column, wide: Column, m: Column) -> Column:

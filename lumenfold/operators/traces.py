@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import pieces, strip
+from lumenfold.functions.text import let, pieces, strip
 
 TokenRule = Callable[[Column], Column]
 MODEL = "struct<name: string, backend: string, path: string, revision: string, generation_config: map<string,string>>"
@@ -33,21 +33,30 @@ def quarter(prefix: Column) -> Column:
 
 def _steps(parts: Column, text: Column, tokens: TokenRule) -> Column:
     """parts: array<struct<text, upto>>, upto in characters -> segments whose tokens follow each other."""
-    bare = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), tokens(F.substring(text, F.lit(1), p["upto"])).alias("token_end"), p["kind"].alias("kind")))
-    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(bare, i - 1)["token_end"])
-    return F.transform(bare, lambda s, i: F.struct(s["text"].alias("text"), start(i).cast("int").alias("token_start"), s["token_end"].cast("int").alias("token_end"), s["kind"].alias("kind")))
+    ended = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), tokens(F.substring(text, F.lit(1), p["upto"])).cast("int").alias("token_end"), p["kind"].alias("kind")))
+    start = lambda bare, i: F.when(i == 0, F.lit(0)).otherwise(F.get(bare, i - 1)["token_end"])
+    return let(ended, lambda bare: F.transform(bare, lambda s, i: F.struct(s["text"].alias("text"), start(bare, i).cast("int").alias("token_start"), s["token_end"].alias("token_end"), s["kind"].alias("kind"))))
 
 
 def _placed(parts: Column, gap: int) -> Column:
-    """Ends, in characters, of parts that lie `gap` characters apart."""
-    return F.transform(parts, lambda p, i: F.struct(p.alias("raw"), (F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + i * gap).alias("upto")))
+    """array<struct<raw, upto>>: ends, in characters, of parts that lie `gap` characters apart."""
+    kind = "array<struct<raw: string, upto: int>>"
+    zero = F.struct(F.lit(-gap).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        upto = (s["at"] + gap + F.length(p)).cast("int")
+        return F.struct(upto.alias("at"), F.concat(s["out"], F.array(F.struct(p.alias("raw"), upto.alias("upto")))).alias("out"))
+
+    return F.aggregate(parts, zero, step, lambda s: s["out"])
 
 
 def by_delimiter(text: str, delimiter: str = "\n", tokens: TokenRule = quarter) -> Column:
     """Segments between literal delimiters; blank ones are skipped and the last is the output."""
     whole = F.col(text)
     found = F.filter(_placed(pieces(whole, delimiter), len(delimiter)), lambda p: strip(p["raw"]) != "")
-    return _steps(F.transform(found, lambda p, i: F.struct(strip(p["raw"]).alias("text"), p["upto"].alias("upto"), F.when(i == F.size(found) - 1, "output").otherwise("thinking").alias("kind"))), whole, tokens)
+    kind = lambda all_of, i: F.when(i == F.size(all_of) - 1, "output").otherwise("thinking")
+    named = let(found, lambda all_of: F.transform(all_of, lambda p, i: F.struct(strip(p["raw"]).alias("text"), p["upto"].alias("upto"), kind(all_of, i).alias("kind"))))
+    return _steps(named, whole, tokens)
 
 
 THINK = r"(?s)<think>(.*?)</think>"
@@ -74,11 +83,10 @@ def by_tags(text: str, tokens: TokenRule = quarter) -> Column:
 
 def _sentences(line: Column) -> Column:
     """array<struct<raw, upto>> of a line's sentences, upto before the blanks that follow."""
-    parts = F.split(line, SENTENCE, -1)
-    blanks = F.regexp_extract_all(line, F.lit(SENTENCE), F.lit(0))
-    length = lambda i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(blanks, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x))
+    found = F.struct(F.split(line, SENTENCE, -1).alias("parts"), F.regexp_extract_all(line, F.lit(SENTENCE), F.lit(0)).alias("blanks"))
+    total = lambda texts, n: F.aggregate(F.slice(texts, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
     trailing = lambda p: F.length(p) - F.length(F.regexp_replace(p, r"(?U)\s+$", ""))
-    return F.transform(parts, lambda p, i: F.struct(p.alias("raw"), (length(i) - trailing(p)).alias("upto")))
+    return let(found, lambda f: F.transform(f["parts"], lambda p, i: F.struct(p.alias("raw"), (total(f["parts"], i + 1) + total(f["blanks"], i) - trailing(p)).alias("upto"))))
 
 
 def peaks(values: np.ndarray, prominence: float, distance: int) -> np.ndarray:

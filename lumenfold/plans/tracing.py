@@ -124,12 +124,12 @@ def trace_store(spark, sf):
 SPANS = "spans AS (SELECT trace_id, k AS idx, n * k // 4 AS a, n * (k + 1) // 4 AS b FROM (SELECT trace_id, count(*) AS n FROM states GROUP BY 1), (VALUES (0), (1), (2), (3)) q(k))"
 
 
-@query(f"WITH {STATES_SQL}, {SPANS} SELECT s.trace_id, idx, 0 AS layer, j - 1 AS dim, round(avg(state[j]), 4) AS x FROM spans s JOIN states t ON s.trace_id = t.trace_id AND token_idx >= a AND token_idx < b, generate_series(1, 64) g(j) GROUP BY ALL")
+@query(f"WITH {STATES_SQL}, {SPANS} SELECT s.trace_id, idx, 0 AS layer, j - 1 AS dim, round(avg(state[j]), 4) + 0.0 AS x FROM spans s JOIN states t ON s.trace_id = t.trace_id AND token_idx >= a AND token_idx < b, generate_series(1, 64) g(j) GROUP BY ALL")
 def pool_steps(spark, sf):
     st = states(spark, sf)
     quarters = F.explode(F.sequence(F.lit(0), F.lit(3)))
     spans = st.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).select("trace_id", "n", quarters.alias("idx")).select("trace_id", "idx", F.floor(F.col("n") * F.col("idx") / 4).cast("int").alias("token_start"), F.floor(F.col("n") * (F.col("idx") + 1) / 4).cast("int").alias("token_end"))
-    return t.pool(spans, st).select("trace_id", "idx", "layer", F.posexplode("state").alias("dim", "x")).withColumn("x", F.round("x", 4))
+    return t.pool(spans, st).select("trace_id", "idx", "layer", F.posexplode("state").alias("dim", "x")).withColumn("x", F.round("x", 4) + 0.0)
 
 
 @query(f"WITH {STATES_SQL} SELECT trace_id, count(*) AS n, min(token_idx) - 4 AS first FROM states WHERE token_idx >= 4 AND token_idx < 19 GROUP BY 1")
