@@ -183,6 +183,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Statistics with base_failed, rule and kept. Write the rows before filtering by a verdict: Catalyst would push
+    such a filter below the statistics and compute them again inside it."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return statistics(docs).withColumn("base_failed", failed).withColumn("rule", rule_number(rules)).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
