@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that an earlier document, or the same one earlier, has; drops texts of which nothing is left."""
-    cleaned = op3_line_dedup.remove_repeated(docs, names=("__lf_lines", "__lf_exact", "__lf_near"))
+    cleaned = op3_line_dedup.remove_repeated(docs, names=("__lf_lines", "__lf_exact", "__lf_near"), every=True)
     emptied = (F.size("__lf_exact") + F.size("__lf_near") > 0) & ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
     return cleaned.where(~emptied).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 

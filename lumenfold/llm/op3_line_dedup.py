@@ -7,7 +7,9 @@ only one line has are dropped; lines that share a key are verified: bits of a wo
 a word for each number of edits, and a character updates all diagonals at once.
 
 A line is removed if an equal line, or another within THRESHOLD edits, comes first, in order of (doc_id, place in the
-document). Lines of fewer than MIN_CHARS code points always stay. What is left keeps its order and line breaks.
+document). Lines of fewer than MIN_CHARS code points are not in the edit join, since two edits may turn one short line
+into another that says something else. With `every`, as in the query and the pipeline, equal ones are removed all the
+same, if they have a character that isn't blank; without it they stay. What is left keeps its order and line breaks.
 
 Keys with more than CROWD lines, as many variants of one line make them, are joined under a further condition before
 pairs are made: counts of letters by class, which each edit moves by two at most. No pair within THRESHOLD is lost.
@@ -34,10 +36,11 @@ BROADCAST_BYTES = 24_000_000
 CLASSES = ("aeo", "iu", "nst", "rlh", "dcm", "bpfgvw", "0123456789", " .,;:")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (the text's hash), pos, line, of lines long enough."""
+def lines(docs: DataFrame, every: bool = False) -> DataFrame:
+    """doc_id, th (the text's hash), pos, line, of lines long enough, or of every line that isn't blank as well."""
     found = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return found.where(F.length("line") >= MIN_CHARS)
+    long = F.length("line") >= MIN_CHARS
+    return found.where(long | F.col("line").rlike(r"\S") if every else long)
 
 
 def place() -> Column:
@@ -111,7 +114,7 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, every: bool = False) -> DataFrame:
     """id, id2, first (place) and near (whether a similar line comes first) of the distinct lines that repeat or are near."""
     all_lines = lines(docs)
     distinct = all_lines.groupBy("line").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -133,7 +136,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     both = pairs.join(side("x", "lx", "fx"), "x").join(side("y", "ly", "fy"), "y").where("lx != ly")
     checked = both.where(within(F.col("lx"), F.col("ly"), threshold))
     near = checked.select(F.when(F.col("fx") > F.col("fy"), F.col("lx")).otherwise(F.col("ly")).alias("line")).distinct().select(*line_ids(), F.lit(True).alias("near"))
-    repeated = all_lines.select(*line_ids(), place().alias("at")).groupBy("id", "id2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "id2", "first")
+    repeated = lines(docs, every).select(*line_ids(), place().alias("at")).groupBy("id", "id2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "id2", "first")
     return cut(repeated.join(near, ["id", "id2"], "full").select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near")))
 
 
@@ -148,18 +151,18 @@ def crowded(shared: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return joined.select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y"))
 
 
-def removals(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def removals(docs: DataFrame, threshold: int = THRESHOLD, every: bool = False) -> DataFrame:
     """doc_id, th, exact and near: places of the lines to remove from each text that has any."""
-    classes = line_classes(docs, threshold)
-    found = lines(docs).select("doc_id", "th", "pos", place().alias("at"), *line_ids()).join(small(classes, 96), ["id", "id2"])
+    classes = line_classes(docs, threshold, every)
+    found = lines(docs, every).select("doc_id", "th", "pos", place().alias("at"), *line_ids()).join(small(classes, 96), ["id", "id2"])
     exact = F.col("first").isNotNull() & (F.col("at") > F.col("first"))
     found = found.where(F.col("near") | exact)
     return found.groupBy("doc_id", "th").agg(F.collect_set(F.when(~F.col("near"), F.col("pos"))).alias("exact"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"))
 
 
-def remove_repeated(docs: DataFrame, threshold: int = THRESHOLD, names: tuple[str, str, str] = ("n_lines", "exact", "near")) -> DataFrame:
+def remove_repeated(docs: DataFrame, threshold: int = THRESHOLD, names: tuple[str, str, str] = ("n_lines", "exact", "near"), every: bool = False) -> DataFrame:
     """docs with the lines removed from text, then n_lines, exact and near (places of removed lines, from 0)."""
-    gone = cut(removals(docs.select("doc_id", "text"), threshold).toDF("__lf_doc", "__lf_hash", "__lf_exact", "__lf_near"))
+    gone = cut(removals(docs.select("doc_id", "text"), threshold, every).toDF("__lf_doc", "__lf_hash", "__lf_exact", "__lf_near"))
     joined = docs.join(small(gone, 160), F.col("doc_id").eqNullSafe(F.col("__lf_doc")) & (F.xxhash64("text") == F.col("__lf_hash")), "left")
     none = F.array().cast("array<int>")
     exact, near = F.coalesce("__lf_exact", none), F.coalesce("__lf_near", none)
@@ -171,5 +174,5 @@ def remove_repeated(docs: DataFrame, threshold: int = THRESHOLD, names: tuple[st
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = remove_repeated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = remove_repeated(read_table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
     return cleaned.select("doc_id", "n_lines", F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
