@@ -14,6 +14,8 @@ from lumenfold.session import cut, read_table, shared_path
 
 #: A table of decisions is broadcast up to this many rows, counted before; beyond it the join is by key.
 BROADCAST_ROWS = 1_000_000
+#: Similarity, in hundredths, from which the near-duplicate stage links; op10's query has its own.
+NEAR = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near copies."""
-    kept = op10_near_dedup.near_duplicates(docs)
+    kept = op10_near_dedup.near_duplicates(docs, least=NEAR)
     gone = cut(kept.where(~F.col("kept")).select(F.col("doc_id").alias("__lf_doc")).distinct())
     few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(few, F.col("doc_id") == F.col("__lf_doc"), "left_anti")

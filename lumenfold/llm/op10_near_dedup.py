@@ -2,7 +2,7 @@
 
 Texts with equal shingle sets are one class, represented by its smallest doc_id. Each of TREES independent trees sends
 every class down from its root: a node takes one coordinate of the classes' MinHash sketches, or two with probability
-1 / SIMILARITY - 1, and a class goes to the child named by the coordinate and its own value there; so two classes of
+1 / similarity - 1, and a class goes to the child named by the coordinate and its own value there; so two classes of
 that similarity meet in one child a level on average. Nodes of at most LEAF classes end there and are compared
 exhaustively; nodes that are still larger at DEPTH hold near-copies of each other.
 
@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 from lumenfold.session import cut, read_table, ship
 
 WORDS = 5
-#: Links: MOST * intersection >= LEAST * union.
+#: Links: MOST * intersection >= least * union; LEAST is the query's, callers may give their own.
 LEAST, MOST = 85, 100
 TREES = 12
 SEEDS = 2
 DEPTH = 5
 LEAF = 24
 COORDINATES = 128
-#: Pairs whose sketches agree in a smaller share are not confirmed; three and a half standard deviations under the threshold.
-AGREE = 0.74
+#: Pairs whose sketches agree in a share so many standard deviations under the threshold are not confirmed.
+DEVIATIONS = 3.5
 BROADCAST_BYTES = 24_000_000
 CHUNK_BYTES = 1_500_000
 
@@ -159,14 +159,14 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def nodes(reps: DataFrame, first: int, last: int, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
+def nodes(reps: DataFrame, first: int, last: int, depth: int = DEPTH, leaf: int = LEAF, least: int = LEAST) -> DataFrame:
     """node, r, component, n (the node's classes), center (its smallest), dense (larger than a leaf) of end nodes.
 
     reps: r, sketch, component. A node all of whose classes are known to be linked is closed: it has nothing to find.
     """
     coordinate = lambda node, turn: F.pmod(F.xxhash64(node, F.lit(turn)), F.lit(COORDINATES)).cast("int")
     child = lambda node, turn: F.xxhash64(node, coordinate(node, turn), F.get("sketch", coordinate(node, turn)))
-    twice = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(1000)) < 1000 * MOST // LEAST - 1000
+    twice = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(1000)) < 1000 * MOST // least - 1000
     rows, out = reps.select("r", "component", "sketch", F.explode(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda t: F.xxhash64(t.cast("long")))).alias("node")), None
     for level in range(1, depth + 1):
         branch = F.explode(F.array_compact(F.array(child(F.col("node"), "one"), F.when(twice, child(F.col("node"), "other")))))
@@ -205,34 +205,40 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("v"), F.col("v").alias("component")).union(roots).groupBy("v").agg(F.min("component").alias("component"))
 
 
-def alike(x: str, y: str):
+def agreeing(least: int) -> int:
+    """Coordinates in which the sketches of a pair must agree to be confirmed."""
+    share = least / MOST
+    return int(COORDINATES * (share - DEVIATIONS * (share * (1 - share) / COORDINATES) ** 0.5))
+
+
+def alike(x: str, y: str, least: int = LEAST):
     """Whether enough of two sketches agrees."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e) >= int(AGREE * COORDINATES)
+    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e) >= agreeing(least)
 
 
-def linked(x: str, y: str):
+def linked(x: str, y: str, least: int = LEAST):
     """Whether two full sets are similar enough."""
     both, either = F.size(F.array_intersect(x, y)), F.size(x) + F.size(y)
-    return (MOST * F.least(F.size(x), F.size(y)) >= LEAST * F.greatest(F.size(x), F.size(y))) & (MOST * both >= LEAST * (either - both))
+    return (MOST * F.least(F.size(x), F.size(y)) >= least * F.greatest(F.size(x), F.size(y))) & (MOST * both >= least * (either - both))
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Of pairs (x, y) of classes, those linked; both sketches are held against each other before the sets are."""
     side = lambda name: reps.select(F.col("r").alias(name), F.col("sketch").alias(f"s{name}"))
-    likely = cut(pairs.join(side("x"), "x").join(side("y"), "y").where(alike("sx", "sy")).select("x", "y").distinct())
+    likely = cut(pairs.join(side("x"), "x").join(side("y"), "y").where(alike("sx", "sy", least)).select("x", "y").distinct())
     wanted = small(likely.select(F.col("x").alias("doc_id")).union(likely.select(F.col("y").alias("doc_id"))).distinct(), 32)
     sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "r long, set binary")
     own = lambda name: sets.select(F.col("r").alias(name), F.col("set").alias(f"set_{name}"))
     both = likely.join(own("x"), "x").join(own("y"), "y").select("x", "y", "set_x", "set_y")
-    return cut(both.mapInArrow(_confirm(LEAST, MOST), "x long, y long").distinct())
+    return cut(both.mapInArrow(_confirm(least, MOST), "x long, y long").distinct())
 
 
 def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.select(F.col("v").alias("r"), "component"), "r", "left").withColumn("component", F.coalesce("component", "r"))
 
 
-def near_duplicates(docs: DataFrame, trees: int = TREES) -> DataFrame:
-    """documents (doc_id, text) -> a row for each: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, trees: int = TREES, least: int = LEAST) -> DataFrame:
+    """documents (doc_id, text) -> a row for each: doc_id, n_shingles, component_id, kept; links from least / MOST on."""
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = cut(docs.mapInArrow(_prepare, "doc_id long, n_shingles long, print binary, sketch array<int>"))
@@ -242,13 +248,13 @@ def near_duplicates(docs: DataFrame, trees: int = TREES) -> DataFrame:
     # Rows of one doc_id with different texts are one document.
     repeated = rows.join(classes.select("print", "r"), "print").where("doc_id != r").select(F.col("r").alias("x"), F.col("doc_id").alias("y")).join(classes.select(F.col("r").alias("y")).distinct(), "y", "left_semi").distinct()
     # The first trees hold each class against one other, the smallest that it meets.
-    seeds = cut(nodes(reps.withColumn("component", F.col("r")), 1, SEEDS))
-    links = confirmed(seeds.groupBy("r").agg(F.min("center").alias("x")).where("r != x").select("x", F.col("r").alias("y")), reps, docs).union(repeated)
+    seeds = cut(nodes(reps.withColumn("component", F.col("r")), 1, SEEDS, least=least))
+    links = confirmed(seeds.groupBy("r").agg(F.min("center").alias("x")).where("r != x").select("x", F.col("r").alias("y")), reps, docs, least).union(repeated)
     known = cut(labelled(reps, components(links)))
-    ends = cut(nodes(known, 1, trees))
+    ends = cut(nodes(known, 1, trees, least=least))
     stars = ends.where("r != center").select(F.col("center").alias("x"), F.col("r").alias("y")).distinct()
     stars = stars.join(known.select(F.col("r").alias("x"), F.col("component").alias("cx")), "x").join(known.select(F.col("r").alias("y"), F.col("component").alias("cy")), "y").where("cx <> cy").select("x", "y")
-    links = links.union(confirmed(stars, reps, docs))
+    links = links.union(confirmed(stars, reps, docs, least))
     parts = cut(components(links))
     split = labelled(ends.drop("component"), parts)
     open_nodes = split.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("node")
@@ -265,8 +271,8 @@ def near_duplicates(docs: DataFrame, trees: int = TREES) -> DataFrame:
     strangers = dense.join(home, "node").where("component != home").select("node", F.col("r").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.col("full").alias("fa"))
     others = dense.select(F.col("node").alias("where"), F.col("r").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), F.col("full").alias("fb"))
     # Sets are held against each other inside the join, so that only links come out of it.
-    crossed = strangers.join(others, (F.col("node") == F.col("where")) & (F.col("ca") != F.col("cb")) & alike("sa", "sb") & linked("fa", "fb")).select(*ordered("a", "b")).distinct()
-    links = links.union(confirmed(second.distinct(), reps, docs)).union(crossed)
+    crossed = strangers.join(others, (F.col("node") == F.col("where")) & (F.col("ca") != F.col("cb")) & alike("sa", "sb", least) & linked("fa", "fb", least)).select(*ordered("a", "b")).distinct()
+    links = links.union(confirmed(second.distinct(), reps, docs, least)).union(crossed)
     final = labelled(classes.select("print", "r"), components(links)).select("print", "component")
     joined = rows.drop("sketch").join(final, "print", "left")
     component = F.when(F.col("print").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.least("component", "doc_id"))

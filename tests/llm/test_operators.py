@@ -258,6 +258,18 @@ def test_near_dedup(docs, empty):
     assert op10_near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_threshold(spark):
+    """One, two and three words of 100 changed: similarities 91/101, 86/106 and 81/111."""
+    texts = []
+    for k, places in enumerate([(20,), (20, 50), (20, 50, 80)]):
+        own = [f"g{k}w{i}" for i in range(100)]
+        texts += [own, [w + "x" if i in places else w for i, w in enumerate(own)]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in op10_near_dedup.near_duplicates(df).where("kept").collect()} == {0, 2, 3, 4, 5}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {0, 2, 4, 5}
+    assert op10_near_dedup.agreeing(80) < op10_near_dedup.agreeing(85) <= 94
+
+
 def test_classifiers(spark, docs, empty):
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(3, 8)))
