@@ -38,7 +38,7 @@ DEPTH = 5
 LEAF = 24
 COORDINATES = 128
 #: Pairs whose sketches agree in a share so many standard deviations under the threshold are not confirmed.
-DEVIATIONS = 3.5
+DEVIATIONS = 5
 BROADCAST_BYTES = 24_000_000
 CHUNK_BYTES = 1_500_000
 

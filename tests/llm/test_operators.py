@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -270,6 +271,15 @@ def test_near_threshold(spark):
     assert op10_near_dedup.agreeing(80) < op10_near_dedup.agreeing(85) <= 94
 
 
+def test_sketch_cut(spark):
+    """A link at the threshold is lost to the cut with a probability of some 1e-6 at most; 90 of 128 are enough."""
+    for least in (80, 85):
+        p, cut = least / 100, op10_near_dedup.agreeing(least)
+        assert sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(cut)) < 2e-6
+    df = spark.createDataFrame([(n, list(range(128)), [i if i < n else -1 for i in range(128)]) for n in (80, 90, 128)], "n int, a array<int>, b array<int>")
+    assert {r["n"] for r in df.where(op10_near_dedup.alike("a", "b")).collect()} == {90, 128}
+
+
 def test_classifiers(spark, docs, empty):
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(3, 8)))
