@@ -1,24 +1,29 @@
 """MinHash near-dedup: a chosen-path set similarity join and connected components.
 
-Texts with equal shingle sets are one class, represented by its smallest doc_id. Each of TREES independent trees sends
-every class down from its root: a node takes one coordinate of the classes' MinHash sketches, or two with probability
-1 / similarity - 1, and a class goes to the child named by the coordinate and its own value there; so two classes of
-that similarity meet in one child a level on average. Nodes of at most LEAF classes end there and are compared
-exhaustively; nodes that are still larger at DEPTH hold near-copies of each other.
-
-Comparing goes in two rounds, since links and not pairs are asked for. First each class of a node is held against the
-node's smallest; then, within a node, only classes that the first round left in different components, in pairs (small
-nodes) or each of the others against all (large nodes). Sketches rule out pairs that are plainly unlike; every link is
+Texts with equal shingle sets are one class, represented by its smallest doc_id. Each of several independent trees
+sends every class down from its root: a node takes one coordinate of the classes' MinHash sketches, or two with
+probability 1 / similarity - 1, and a class goes to the child named by the coordinate and its own value there; so two
+classes of that similarity meet in one child a level on average. Only ids go down. Nodes of at most LEAF classes end
+there and are compared exhaustively. A node that keeps TIGHT of its parent's classes holds near copies of each other,
+which further levels would hardly part: it ends there as a dense node, and so does one that is still large at DEPTH.
+The number of trees follows from the target recall (`survival`, `trees_for`).
+
+Comparing goes in rounds, since links and not pairs are asked for. First each class of a node is held against the
+node's smallest. Small nodes that the first round left in different components are then compared in pairs. Dense nodes
+that share a class are one cluster; what the first round left outside a cluster's largest component is held against
+all of the cluster, in blocks of bounded size, and a block gives no more links than join its components. Every link is
 confirmed on the full shingle sets.
 
 A null text, or one without words, has an empty set and is linked with nothing. Rows of one doc_id are one document,
-whatever their texts. A row with a null doc_id is linked with nothing, has no component and is kept. Other columns are
-left out. An empty table gives no rows.
+whatever their texts. A row with a null doc_id is linked with nothing, has no component and is kept. A text of any
+length has its whole set; a very long one makes a block of its own. Other columns are left out. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +32,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.llm.held import held, release
 from lumenfold.session import cut, read_table, ship
 
 WORDS = 5
 #: Links: MOST * intersection >= least * union; LEAST is the query's, callers may give their own.
 LEAST, MOST = 85, 100
-TREES = 12
+#: Share of the pairs at the threshold that the trees bring together.
+TARGET = 0.99995
 SEEDS = 2
-DEPTH = 5
+DEPTH = 12
+#: Levels that a pair which is not in a dense node goes down as a rule; the recall is stated for these.
+USUAL = 5
 LEAF = 24
+#: Hundredths of its parent's classes from which a node holds near copies.
+TIGHT = 60
+#: Rows of ids, and of sketches, that a task takes where a table that has been counted is read again.
+ID_ROWS, SKETCH_ROWS = 200_000, 20_000
+#: Classes, and shingles, that a block of a cluster has on average at most.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 COORDINATES = 128
 #: Pairs whose sketches agree in a share so many standard deviations under the threshold are not confirmed.
 DEVIATIONS = 5
 BROADCAST_BYTES = 24_000_000
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 400_000
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,7 +66,6 @@ _BACK = pow(_STEP, -1, 1 << 64)
 _TURNS = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,14 +74,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _grown(n: int) -> list[np.ndarray]:
+    out = []
+    for base in (_STEP, _BACK):
+        own = np.full(n, base, np.uint64)
+        own[0] = 1
+        out.append(np.multiply.accumulate(own))
+    return out
+
+
 def powers(n: int) -> list[np.ndarray]:
-    """Of the step and of its inverse modulo 2^64, so that a word's hash doesn't depend on its place."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_STEP, _BACK)):
-            own = np.full(max(n, 1 << 21), base, np.uint64)
-            own[0] = 1
-            _powers[k] = np.multiply.accumulate(own)
-    return _powers
+    """Of the step and of its inverse modulo 2^64, so that a word's hash doesn't depend on its place.
+
+    Those of a chunk's length are kept; those of a longer text are made for it.
+    """
+    usual = CHUNK_BYTES + 1
+    return held("powers", lambda: _grown(usual)) if n <= usual else _grown(n)
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -137,13 +159,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.tobytes() for own in sets_of(batch.column(1))], pa.binary())], ["r", "set"])
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.view(np.int64) for own in sets_of(batch.column(1))], pa.list_(pa.int64()))], ["r", "full"])
-
-
 def _confirm(least: int, most: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
@@ -155,10 +173,70 @@ def _confirm(least: int, most: int):
     return confirm
 
 
+def _within_block(least: int, most: int):
+    """Links between the strangers (side 0) and the members (side 1) of a block, as many as join its components."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        release()
+        side, r, component = (rows.column(n).to_numpy() for n in ("side", "r", "component"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
+        members = np.flatnonzero(side == 1)
+        x, y, parent = [], [], {c: c for c in component.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        if len(members):
+            sizes = np.array([len(sets[k]) for k in members])
+            known, at = np.unique(np.concatenate([sets[k] for k in members]), return_inverse=True)
+            offsets = np.r_[0, np.cumsum(sizes)[:-1]]
+            for k in np.flatnonzero(side == 0):
+                own = sets[k]
+                place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                mark = np.zeros(len(known), np.int32)
+                mark[place[known[place] == own]] = 1
+                both = np.add.reduceat(mark[at], offsets)
+                for m in members[most * both >= least * (sizes + len(own) - both)]:
+                    if (a := root(int(component[k]))) != (b := root(int(component[m]))):
+                        parent[a] = b
+                        x.append(int(r[k]))
+                        y.append(int(r[m]))
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    return compare
+
+
+def survival(least: int, levels: int) -> float:
+    """Probability that two classes whose sketches agree in least / MOST of the coordinates are together at that level."""
+    share, lost = least / MOST, 0.0
+    twice = min(1.0, 1 / share - 1)
+    for _ in range(levels):
+        child = 1 - share + share * lost
+        lost = child * (1 - twice) + child * child * twice
+    return 1 - lost
+
+
+def trees_for(target: float, least: int = LEAST, levels: int = USUAL) -> int:
+    """Trees of which one at least brings together that share of the pairs at the threshold."""
+    return math.ceil(math.log(1 - target) / math.log(1 - survival(least, levels)))
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def tasks(rows: int, each: int = ID_ROWS) -> int:
+    return max(1, -(-rows // each))
+
+
+def written(df: DataFrame, each: int = ID_ROWS) -> DataFrame:
+    """df checkpointed, to be read by as many tasks as its rows ask for, so that small tables don't make many small files."""
+    kept = cut(df)
+    return kept.coalesce(tasks(kept.count(), each))
+
+
 def nodes(reps: DataFrame, first: int, last: int, depth: int = DEPTH, leaf: int = LEAF, least: int = LEAST) -> DataFrame:
     """node, r, component, n (the node's classes), center (its smallest), dense (larger than a leaf) of end nodes.
 
@@ -167,20 +245,23 @@ def nodes(reps: DataFrame, first: int, last: int, depth: int = DEPTH, leaf: int
     coordinate = lambda node, turn: F.pmod(F.xxhash64(node, F.lit(turn)), F.lit(COORDINATES)).cast("int")
     child = lambda node, turn: F.xxhash64(node, coordinate(node, turn), F.get("sketch", coordinate(node, turn)))
     twice = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(1000)) < 1000 * MOST // least - 1000
-    rows, out = reps.select("r", "component", "sketch", F.explode(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda t: F.xxhash64(t.cast("long")))).alias("node")), None
+    start = F.explode(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda t: F.xxhash64(t.cast("long")))).alias("node")
+    rows, out = reps.select("r", "component", "sketch", start).withColumn("n", F.lit(0).cast("long")), None
     for level in range(1, depth + 1):
         branch = F.explode(F.array_compact(F.array(child(F.col("node"), "one"), F.when(twice, child(F.col("node"), "other")))))
-        down = rows.select("r", "component", branch.alias("node"))
-        known = down.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("center"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").drop("low", "high")
-        sized = cut(down.join(known, "node"))
+        down = rows.select("r", "component", F.col("n").alias("above"), branch.alias("node"))
+        known = down.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("above").alias("above"), F.min("r").alias("center"), F.min("component").alias("low"), F.max("component").alias("high"))
+        sized = written(down.drop("above").join(known.where("low <> high").drop("low", "high"), "node"))
         large = F.col("n") > leaf
-        ends = sized if level == depth else sized.where(~large)
-        ends = ends.select("node", "r", "component", "n", "center", large.alias("dense"))
+        over = ~large if level < depth else F.lit(True)
+        if level > 1:
+            over = over | (100 * F.col("n") >= TIGHT * F.col("above"))
+        ends = sized.where(over).select("node", "r", "component", "n", "center", large.alias("dense"))
         out = ends if out is None else out.union(ends)
-        rest = sized.where(large)
+        rest = sized.where(~over)
         if level == depth or rest.isEmpty():
             break
-        rows = rest.select("r", "node", "component").join(reps.select("r", "sketch"), "r")
+        rows = rest.select("r", "node", "component", "n").join(reps.select("r", "sketch"), "r")
     return out
 
 
@@ -190,13 +271,15 @@ def components(edges: DataFrame) -> DataFrame:
     Large stars and small stars in turn; each round is checkpointed and compared with the last.
     """
     now, last = cut(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u != v").distinct()), None
+    n = tasks(now.count())
     while True:
+        now = now.coalesce(n)
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        linked = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = linked.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(n)
+        linked = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").coalesce(n).distinct().coalesce(n)
+        low = linked.groupBy("u").agg(F.min("v").alias("m")).coalesce(n)
         star = linked.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = cut(star.where("u != v").distinct())
+        now = cut(star.where("u != v").coalesce(n).distinct().coalesce(n))
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last:
             break
@@ -216,63 +299,79 @@ def alike(x: str, y: str, least: int = LEAST):
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e) >= agreeing(least)
 
 
-def linked(x: str, y: str, least: int = LEAST):
-    """Whether two full sets are similar enough."""
-    both, either = F.size(F.array_intersect(x, y)), F.size(x) + F.size(y)
-    return (MOST * F.least(F.size(x), F.size(y)) >= least * F.greatest(F.size(x), F.size(y))) & (MOST * both >= least * (either - both))
-
-
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Of pairs (x, y) of classes, those linked; both sketches are held against each other before the sets are."""
     side = lambda name: reps.select(F.col("r").alias(name), F.col("sketch").alias(f"s{name}"))
-    likely = cut(pairs.join(side("x"), "x").join(side("y"), "y").where(alike("sx", "sy", least)).select("x", "y").distinct())
-    wanted = small(likely.select(F.col("x").alias("doc_id")).union(likely.select(F.col("y").alias("doc_id"))).distinct(), 32)
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "r long, set binary")
+    likely = written(pairs.join(side("x"), "x").join(side("y"), "y").where(alike("sx", "sy", least)).select("x", "y").distinct())
+    sets = sets_for(docs, likely.select("x").union(likely.select("y")))
     own = lambda name: sets.select(F.col("r").alias(name), F.col("set").alias(f"set_{name}"))
     both = likely.join(own("x"), "x").join(own("y"), "y").select("x", "y", "set_x", "set_y")
-    return cut(both.mapInArrow(_confirm(least, MOST), "x long, y long").distinct())
+    return written(both.mapInArrow(_confirm(least, MOST), "x long, y long").distinct())
+
+
+def sets_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """r and its full set, of the documents that the one column of ids names."""
+    wanted = small(ids.toDF("doc_id").distinct(), 32)
+    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "r long, set binary")
+
+
+def clustered(dense: DataFrame, sizes: DataFrame, docs: DataFrame, least: int = LEAST) -> DataFrame | None:
+    """Links (x, y) that join the components of open dense nodes (node, r, component, center), or None without such nodes.
+
+    sizes: r, n_shingles. Strangers are the classes outside a cluster's largest component; blocks of them meet blocks of
+    all the cluster's, so rows grow with strangers x cluster / BLOCK, and nothing grows with pairs.
+    """
+    if dense.isEmpty():
+        return None
+    home = components(dense.select(F.col("center").alias("x"), F.col("r").alias("y"))).select(F.col("v").alias("r"), F.col("component").alias("cluster"))
+    members = written(dense.select("r", "component").distinct().join(home, "r").join(sizes, "r"))
+    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    # A row a cluster, of those in which the first round left something open.
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    whole = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", -F.col("component"), "s")).alias("most"))
+    whole = whole.where(F.col("n") > F.col("most.n"))
+    whole = whole.select("cluster", "main", blocks(F.col("n"), F.col("s")).alias("q"), blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("p"))
+    open_rows = written(members.join(whole, "cluster"))
+    full = open_rows.join(sets_for(docs, open_rows.select("r")), "r")
+    deal = lambda seed, n: F.pmod(F.xxhash64("r", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    given = ["cluster", "r", "component", "set"]
+    strangers = full.where("component != main").select(*given, F.lit(0).alias("side"), deal("stranger", "p").alias("i"), every("q").alias("j"))
+    others = full.select(*given, F.lit(1).alias("side"), deal("member", "q").alias("j"), every("p").alias("i"))
+    return written(strangers.unionByName(others).groupBy("cluster", "i", "j").applyInArrow(_within_block(least, MOST), "x long, y long").distinct())
 
 
 def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.select(F.col("v").alias("r"), "component"), "r", "left").withColumn("component", F.coalesce("component", "r"))
 
 
-def near_duplicates(docs: DataFrame, trees: int = TREES, least: int = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, target: float = TARGET, least: int = LEAST) -> DataFrame:
     """documents (doc_id, text) -> a row for each: doc_id, n_shingles, component_id, kept; links from least / MOST on."""
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    rows = cut(docs.mapInArrow(_prepare, "doc_id long, n_shingles long, print binary, sketch array<int>"))
-    classes = rows.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("r"), F.min("sketch").alias("sketch"))
-    classes = cut(classes)
+    rows = written(docs.mapInArrow(_prepare, "doc_id long, n_shingles long, print binary, sketch array<int>"), SKETCH_ROWS)
+    classes = rows.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("r"), F.min("sketch").alias("sketch"), F.max("n_shingles").alias("n_shingles"))
+    classes = written(classes, SKETCH_ROWS)
     reps = classes.select("r", "sketch")
     # Rows of one doc_id with different texts are one document.
     repeated = rows.join(classes.select("print", "r"), "print").where("doc_id != r").select(F.col("r").alias("x"), F.col("doc_id").alias("y")).join(classes.select(F.col("r").alias("y")).distinct(), "y", "left_semi").distinct()
     # The first trees hold each class against one other, the smallest that it meets.
-    seeds = cut(nodes(reps.withColumn("component", F.col("r")), 1, SEEDS, least=least))
+    seeds = written(nodes(reps.withColumn("component", F.col("r")), 1, SEEDS, least=least))
     links = confirmed(seeds.groupBy("r").agg(F.min("center").alias("x")).where("r != x").select("x", F.col("r").alias("y")), reps, docs, least).union(repeated)
-    known = cut(labelled(reps, components(links)))
-    ends = cut(nodes(known, 1, trees, least=least))
+    known = written(labelled(reps, components(links)), SKETCH_ROWS)
+    ends = written(nodes(known, 1, trees_for(target, least), least=least))
     stars = ends.where("r != center").select(F.col("center").alias("x"), F.col("r").alias("y")).distinct()
     stars = stars.join(known.select(F.col("r").alias("x"), F.col("component").alias("cx")), "x").join(known.select(F.col("r").alias("y"), F.col("component").alias("cy")), "y").where("cx <> cy").select("x", "y")
     links = links.union(confirmed(stars, reps, docs, least))
-    parts = cut(components(links))
-    split = labelled(ends.drop("component"), parts)
+    split = labelled(ends.drop("component"), components(links))
     open_nodes = split.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("node")
-    split = cut(split.join(open_nodes, "node", "left_semi"))
-    ordered = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+    split = written(split.join(open_nodes, "node", "left_semi"))
     groups = split.where(~F.col("dense")).groupBy("node").agg(F.collect_list(F.struct("r", "component")).alias("m"))
     within = F.flatten(F.transform("m", lambda p: F.transform(F.filter("m", lambda q: (p["component"] != q["component"]) & (p["r"] < q["r"])), lambda q: F.struct(p["r"].alias("x"), q["r"].alias("y")))))
     second = groups.select(F.explode(F.array_distinct(within)).alias("p")).select("p.x", "p.y")
-    dense = split.where("dense").join(reps, "r")
-    wanted = small(dense.select(F.col("r").alias("doc_id")).distinct(), 32)
-    full = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_arrays, "r long, full array<long>")
-    dense = dense.join(full, "r")
-    home = labelled(split.where("dense").select("node", F.col("center").alias("r")).distinct(), parts).select("node", F.col("component").alias("home"))
-    strangers = dense.join(home, "node").where("component != home").select("node", F.col("r").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.col("full").alias("fa"))
-    others = dense.select(F.col("node").alias("where"), F.col("r").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), F.col("full").alias("fb"))
-    # Sets are held against each other inside the join, so that only links come out of it.
-    crossed = strangers.join(others, (F.col("node") == F.col("where")) & (F.col("ca") != F.col("cb")) & alike("sa", "sb", least) & linked("fa", "fb", least)).select(*ordered("a", "b")).distinct()
-    links = links.union(confirmed(second.distinct(), reps, docs, least)).union(crossed)
+    links = links.union(confirmed(second.distinct(), reps, docs, least))
+    crossed = clustered(split.where("dense").select("node", "r", "component", "center"), classes.groupBy("r").agg(F.max("n_shingles").alias("n_shingles")), docs, least)
+    links = links if crossed is None else links.union(crossed)
     final = labelled(classes.select("print", "r"), components(links)).select("print", "component")
     joined = rows.drop("sketch").join(final, "print", "left")
     component = F.when(F.col("print").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.least("component", "doc_id"))
