@@ -3,7 +3,10 @@
 Two lines within THRESHOLD edits share one of the THRESHOLD + 1 segments that the shorter (or either, if equally long)
 falls into, in a place that the edits before and after it allow. So each line is put under its segments, with its
 length, and looks up those substrings of itself that could be a segment of a line up to THRESHOLD shorter. Keys that
-only one line has are dropped; lines that share a key are verified: bits of a word stand for the diagonals of the band,
+only one line has are dropped. What is asked of a line is whether a similar one comes before it, so the lines of a key
+meet in a left semi join that verifies inside: a row comes out for a line and key at most, never one for a pair, a line
+is done with at its first match, and Spark can split a key with many lines. Lengths and counts of letters by class,
+which an edit moves by two at most, rule out most pairs first. Then bits of a word stand for the diagonals of the band,
 a word for each number of edits, and a character updates all diagonals at once.
 
 A line is removed if an equal line, or another within THRESHOLD edits, comes first, in order of (doc_id, place in the
@@ -11,12 +14,11 @@ document). Lines of fewer than MIN_CHARS code points are not in the edit join, s
 into another that says something else. With `every`, as in the query and the pipeline, equal ones are removed all the
 same, if they have a character that isn't blank; without it they stay. What is left keeps its order and line breaks.
 
-Keys with more than CROWD lines, as many variants of one line make them, are joined under a further condition before
-pairs are made: counts of letters by class, which each edit moves by two at most. No pair within THRESHOLD is lost.
-
 A null text stays null and has no lines; an empty one has a line that stays. Null doc_ids come first in order, as one
 document. Rows equal in doc_id and text are treated alike; equal lines in rows of one doc_id at one place are all
-first. Other columns are kept by `remove_repeated`, whatever their names. An empty table gives no rows.
+first, and of similar ones there neither comes before the other. A line of any length is compared whole, and its cost
+is in proportion to its length. Other columns are kept by `remove_repeated`, whatever their names. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ from lumenfold.session import cut, read_table
 
 THRESHOLD = 2
 MIN_CHARS = 24
-CROWD = 48
 #: A table is broadcast up to this size, counted before; beyond it joins are by key.
 BROADCAST_BYTES = 24_000_000
 CLASSES = ("aeo", "iu", "nst", "rlh", "dcm", "bpfgvw", "0123456789", " .,;:")
@@ -60,18 +61,30 @@ def segment(length: Column, number: int, threshold: int) -> tuple[Column, Column
     return short * number + extra(number) + 1, short + extra(number + 1) - extra(number)
 
 
-def keys(threshold: int) -> Column:
-    """array<struct<key, own>>: own segments, and substrings that may be segments of lines as long or shorter."""
-    n, out = F.length("line"), []
-    for shorter in range(threshold + 1):
-        for i in range(threshold + 1):
-            first, size = segment(n - shorter, i, threshold)
+def keyed(distinct: DataFrame, threshold: int) -> DataFrame:
+    """Rows with `line` -> key, id and, in the lowest bit of id, whether the key is one of the line's own segments; the
+    others are substrings that may be segments of lines as long or shorter.
+
+    Places of segments are computed once a line and the keys by one short lambda over a table: written out one by one
+    they make a method too long for the JVM's compiler.
+    """
+    count, steps = threshold + 1, []
+    for shorter in range(count):
+        for i in range(count):
             # Edits before the segment shift it by their number at most, and so do those after it, from the other end.
             low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
-            for shift in range(low, high + 1):
-                key = F.xxhash64(n - shorter, F.lit(i), F.substring(F.col("line"), first + shift, size))
-                out.append(F.struct(key.alias("key"), F.lit(shorter == 0 and shift == 0).alias("own")))
-    return F.array(*out)
+            steps += [(shorter, i, shift) for shift in range(low, high + 1)]
+    table = F.array(*(F.struct(F.lit(s).alias("shorter"), F.lit(i).alias("i"), F.lit(d).alias("shift"), F.lit(int(s == d == 0)).cast("long").alias("own")) for s, i, d in steps))
+    placed = lambda which: F.array(*(F.array(*(segment(F.col("n") - s, i, threshold)[which].cast("int") for i in range(count))) for s in range(count)))
+    of = lambda name, t: F.get(F.get(F.col(name), t["shorter"]), t["i"])
+    key = lambda t: F.xxhash64(F.col("n") - t["shorter"], t["i"], F.substring(F.col("line"), of("at", t) + t["shift"], of("size", t)))
+    rows = distinct.select("line", F.length("line").alias("n")).select("line", "n", placed(0).alias("at"), placed(1).alias("size"))
+    rows = rows.select(even(F.xxhash64("line")).alias("id"), F.explode(F.transform(table, lambda t: even(key(t)).bitwiseOR(t["own"]))).alias("k"))
+    return rows.select(even(F.col("k")).alias("key"), F.col("id").bitwiseOR(F.col("k").bitwiseAND(F.lit(1))).alias("id"))
+
+
+def even(number: Column) -> Column:
+    return number.bitwiseAND(F.lit(-2))
 
 
 def within(left: Column, right: Column, threshold: int) -> Column:
@@ -118,37 +131,28 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, every: bool = Fals
     """id, id2, first (place) and near (whether a similar line comes first) of the distinct lines that repeat or are near."""
     all_lines = lines(docs)
     distinct = all_lines.groupBy("line").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"))
-    coded = distinct.select(F.xxhash64("line").alias("id"), F.explode(keys(threshold)).alias("k")).select("id", "k.key", "k.own")
     group = Window.partitionBy("key")
-    shared = coded.select("*", F.count(F.lit(1)).over(group).alias("size"), F.min("id").over(group).alias("low"), F.max("id").over(group).alias("high"), F.max("own").over(group).alias("used"))
-    shared = cut(shared.where((F.col("low") != F.col("high")) & F.col("used")).select("key", "id", "own", "size"))
+    of_line = even(F.col("id"))
+    shared = keyed(distinct, threshold).select("*", F.min(of_line).over(group).alias("low"), F.max(of_line).over(group).alias("high"), F.max(F.col("id").bitwiseAND(F.lit(1))).over(group).alias("used"))
+    shared = cut(shared.where("low != high and used = 1").select("key", of_line.alias("id"), (F.col("id") != of_line).alias("own")))
     # The lines behind those keys, with their texts.
     needed = small(shared.select("id").distinct(), 64)
-    texts = all_lines.withColumn("id", F.xxhash64("line")).join(needed, "id", "left_semi")
-    texts = cut(texts.groupBy("id", "line").agg(F.min(place()).alias("first")))
-    quiet = shared.where(F.col("size") <= CROWD).groupBy("key").agg(F.collect_list(F.struct("id", "own")).alias("members"))
-    owners = F.filter("members", lambda m: m["own"])
-    pair = lambda x, y: F.struct(F.least(x["id"], y["id"]).alias("x"), F.greatest(x["id"], y["id"]).alias("y"))
-    made = F.flatten(F.transform(owners, lambda x: F.transform(F.filter("members", lambda y: x["id"] != y["id"]), lambda y: pair(x, y))))
-    pairs = quiet.select(F.explode(F.array_distinct(made)).alias("p")).select("p.x", "p.y")
-    pairs = pairs.union(crowded(shared.where(F.col("size") > CROWD), texts, threshold)).distinct()
-    side = lambda a, text, first: texts.select(F.col("id").alias(a), F.col("line").alias(text), F.col("first").alias(first))
-    both = pairs.join(side("x", "lx", "fx"), "x").join(side("y", "ly", "fy"), "y").where("lx != ly")
-    checked = both.where(within(F.col("lx"), F.col("ly"), threshold))
-    near = checked.select(F.when(F.col("fx") > F.col("fy"), F.col("lx")).otherwise(F.col("ly")).alias("line")).distinct().select(*line_ids(), F.lit(True).alias("near"))
+    texts = all_lines.withColumn("id", even(F.xxhash64("line"))).join(needed, "id", "left_semi")
+    texts = texts.groupBy("id", "line").agg(F.min(place()).alias("first"))
+    letters = F.lower("line")
+    counts = [(F.length("line") - F.length(F.translate(letters, c, ""))).alias(f"c{k}") for k, c in enumerate(CLASSES)]
+    sides = cut(shared.join(texts.select("id", "line", "first", F.length("line").alias("len"), *counts), "id"))
+    near = sides.alias("x").join(sides.alias("y"), precedes(threshold), "left_semi").select("line").distinct().select(*line_ids(), F.lit(True).alias("near"))
     repeated = lines(docs, every).select(*line_ids(), place().alias("at")).groupBy("id", "id2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "id2", "first")
     return cut(repeated.join(near, ["id", "id2"], "full").select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near")))
 
 
-def crowded(shared: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of ids under keys of many lines, by lengths and counts of letters."""
-    letters = F.lower("line")
-    counts = F.array(*(F.length("line") - F.length(F.translate(letters, c, "")) for c in CLASSES))
-    sides = shared.join(texts.select("id", F.length("line").alias("len"), counts.alias("c")), "id")
-    x, y = sides.where("own").alias("x"), sides.alias("y")
-    apart = F.aggregate(F.zip_with("x.c", "y.c", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & (F.abs(F.col("x.len") - F.col("y.len")) <= threshold) & (apart <= 2 * threshold))
-    return joined.select(F.least("x.id", "y.id").alias("x"), F.greatest("x.id", "y.id").alias("y"))
+def precedes(threshold: int) -> Column:
+    """Whether y, under the same key as x, comes before it and is within that many edits; cheap tests first."""
+    x, y = lambda n: F.col(f"x.{n}"), lambda n: F.col(f"y.{n}")
+    apart = reduce(lambda a, b: a + b, (F.abs(x(f"c{k}") - y(f"c{k}")) for k in range(len(CLASSES))))
+    likely = (x("own") | y("own")) & (y("first") < x("first")) & (F.abs(x("len") - y("len")) <= threshold) & (apart <= 2 * threshold) & (x("line") != y("line"))
+    return (x("key") == y("key")) & likely & within(x("line"), y("line"), threshold)
 
 
 def removals(docs: DataFrame, threshold: int = THRESHOLD, every: bool = False) -> DataFrame:
