@@ -45,11 +45,31 @@ def pieces(c: Column | str, delimiter: str) -> Column:
     return F.split(col(c), r"\Q" + delimiter + r"\E", -1)
 
 
+#: Numbers that `running` adds up one by one before it starts a new array.
+CHUNK = 128
+
+
+def running(numbers: Column, chunk: int = CHUNK) -> Column:
+    """Sums up to and with each number. Arrays that grow are bounded by the chunk and by the number of chunks."""
+    none = F.array().cast("array<bigint>")
+    add = lambda out, x: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)) + x))
+
+    def joined(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x))
+        sums = lambda ahead: F.transform(chunks, lambda c, k: F.transform(F.aggregate(c, none, add), lambda x: x + F.when(k > 0, F.get(ahead, k - 1)).otherwise(F.lit(0))))
+        return F.flatten(let(F.aggregate(totals, none, add), sums))
+
+    def chunks(all_of: Column) -> Column:
+        numbered = F.when(F.size(all_of) > 0, F.sequence(F.lit(0), F.floor((F.size(all_of) - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbered, lambda k: F.slice(all_of, k * chunk + 1, F.lit(chunk)))
+
+    return let(let(numbers, chunks), joined)
+
+
 def spans(text: Column, pattern: Column) -> Column:
     """array<struct<start, end>> of a pattern's matches, from the lengths of what matches and what lies between."""
-    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n")))
-    kind = "array<struct<start: int, end: int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-    step = lambda s, x: F.struct((s["at"] + x["gap"] + x["n"]).alias("at"), F.concat(s["spans"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["n"]).alias("end")))).alias("spans"))
-    return F.when(F.rlike(text, pattern), F.aggregate(lengths, zero, step, lambda s: s["spans"])).otherwise(F.array().cast(kind))
+    found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("gaps"))
+    lengths = lambda f: F.zip_with(F.slice(f["gaps"], F.lit(1), F.size(f["whole"])), f["whole"], lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n")))
+    ends = lambda steps: running(F.transform(steps, lambda x: (x["gap"] + x["n"]).cast("bigint")))
+    placed = lambda steps: F.zip_with(ends(steps), steps, lambda e, x: F.struct((e - x["n"]).cast("int").alias("start"), e.cast("int").alias("end")))
+    return F.when(F.rlike(text, pattern), let(let(found, lengths), placed)).otherwise(F.array().cast("array<struct<start: int, end: int>>"))

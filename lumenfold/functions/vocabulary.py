@@ -6,14 +6,34 @@ import re
 
 #: Names by category.
 METHODS = {
-    "clustering": "leiden louvain kmeans k-means hdbscan dbscan spectral_clustering agglomerative hierarchical_clustering phenograph scanpy_cluster seurat_cluster sc.tl.leiden sc.tl.louvain find_clusters identify_clusters cluster_analysis",
-    "trajectory": "monocle monocle2 monocle3 slingshot paga velocyto scvelo rna_velocity cellrank wishbone dpt diffusion_pseudotime palantir tempora tradeseq",
-    "dim_reduction": "pca umap tsne t-sne phate diffusion_map force_atlas spring mds isomap lle",
-    "differential_expression": "deseq2 edger wilcoxon t_test mast scde limma rank_genes_groups findmarkers",
-    "cell_cycle": "cyclum tricycle ccremover scran_cyclone seurat_cc cell_cycle_scoring recat cyclingpheno cell_cycle_regression regress_out_cell_cycle regress_cell_cycle periodic cyclical_embedding circular_embedding",
-    "spatial": "squidpy stlearn giotto spatialexperiment seurat_spatial tangram cell2location stereoscope rctd",
-    "integration": "harmony scvi scanorama bbknn mnn combat liger seurat_integration scgen",
-    "annotation": "celltypist singlecellnet sctype garnett cellassign scmap scpred",
+    "clustering": [
+        "leiden", "louvain", "kmeans", "k-means", "hdbscan", "dbscan", "spectral_clustering", "agglomerative", "hierarchical_clustering",
+        "phenograph", "scanpy_cluster", "seurat_cluster", "sc.tl.leiden", "sc.tl.louvain", "find_clusters", "identify_clusters",
+        "cluster_analysis",
+    ],
+    "trajectory": [
+        "monocle", "monocle2", "monocle3", "slingshot", "paga", "velocyto", "scvelo", "rna_velocity", "cellrank", "wishbone", "dpt",
+        "diffusion_pseudotime", "palantir", "tempora", "tradeseq",
+    ],
+    "dim_reduction": [
+        "pca", "umap", "tsne", "t-sne", "phate", "diffusion_map", "force_atlas", "spring", "mds", "isomap", "lle",
+    ],
+    "differential_expression": [
+        "deseq2", "edger", "wilcoxon", "t_test", "mast", "scde", "limma", "rank_genes_groups", "findmarkers",
+    ],
+    "cell_cycle": [
+        "cyclum", "tricycle", "ccremover", "scran_cyclone", "seurat_cc", "cell_cycle_scoring", "recat", "cyclingpheno",
+        "cell_cycle_regression", "regress_out_cell_cycle", "regress_cell_cycle", "periodic", "cyclical_embedding", "circular_embedding",
+    ],
+    "spatial": [
+        "squidpy", "stlearn", "giotto", "spatialexperiment", "seurat_spatial", "tangram", "cell2location", "stereoscope", "rctd",
+    ],
+    "integration": [
+        "harmony", "scvi", "scanorama", "bbknn", "mnn", "combat", "liger", "seurat_integration", "scgen",
+    ],
+    "annotation": [
+        "celltypist", "singlecellnet", "sctype", "garnett", "cellassign", "scmap", "scpred",
+    ],
 }
 #: Phrases that stand for a method without naming it.
 PHRASES = {
@@ -37,13 +57,12 @@ INSPECTION = (
 )
 #: What ends a clause, rejects, affirms, and condemns after the fact.
 BOUNDARY = r"[;!?\n]|(?<!\w)\.|\.(?!\w)|\b(?:but|however|yet|whereas)\b|\binstead\b(?!\s+of)"
-_VERBS = r"(?:use|recommend|choose|apply)"
 REJECTION = (
-    r"\b(?:do\s+not|don't|should\s+not|shouldn't|would\s+not|wouldn't|cannot|can't|must\s+not|mustn't)\s+(?:\w+\s+){0,2}?" + _VERBS + r"\b"
+    r"\b(?:do\s+not|don't|should\s+not|shouldn't|would\s+not|wouldn't|cannot|can't|must\s+not|mustn't)\s+(?:\w+\s+){0,2}?(?:use|recommend|choose|apply)\b"
     r"|\b(?:avoid|reject|neither)\b"
     r"|\b(?:instead\s+of|rather\s+than)\b(?:\s+(?:use|recommend|choose|apply|prefer|try)\b)?"
-    r"|\b(?:wrong|inappropriate|unsuitable|not\s+appropriate|not\s+suitable)\s+to\s+" + _VERBS + r"\b"
-    r"|\bnot\s+" + _VERBS + r"\b|\bnot\s*$"
+    r"|\b(?:wrong|inappropriate|unsuitable|not\s+appropriate|not\s+suitable)\s+to\s+(?:use|recommend|choose|apply)\b"
+    r"|\bnot\s+(?:use|recommend|choose|apply)\b|\bnot\s*$"
 )
 AFFIRMATION = r"\b(?:use|recommend|choose|apply|prefer|try)\b"
 NEW_SUBJECT = r"^\s+(?:is|can\s+be)\s+(?:appropriate|suitable|useful|recommended|better)\b"
@@ -58,7 +77,14 @@ CONDEMNED = (
 MOST_WORDS = 8
 
 
-def patterns() -> list[tuple[str, str, str]]:
-    """(category, method, pattern) of all names and phrases."""
-    names = [(c, m, r"(?U)\b" + re.sub("_", r"[\\s_\\-]?", re.sub(r"([.\-])", r"\\\1", m)) + r"\b") for c, ms in METHODS.items() for m in ms.split()]
-    return names + [(c, m, "(?U)" + p) for (c, m), ps in PHRASES.items() for p in ps]
+def needle(pattern: str) -> str:
+    """The longest run of letters that all matches of a pattern have: parts in groups may be missing."""
+    bare = re.sub(r"\(\?:[^)]*\)\??|\\s\+|\[[^]]*\]\?|\\b|\(\?U\)", " ", pattern)
+    return max(re.findall(r"[a-z0-9]+", bare), key=len)
+
+
+def patterns() -> list[tuple[str, str, str, str]]:
+    """(category, method, pattern, needle) of all names and phrases."""
+    names = [(c, m, r"(?U)\b" + re.sub("_", r"[\\s_\\-]?", re.sub(r"([.\-])", r"\\\1", m)) + r"\b") for c, ms in METHODS.items() for m in ms]
+    phrases = [(c, m, "(?U)" + p) for (c, m), ps in PHRASES.items() for p in ps]
+    return [(c, m, p, needle(p)) for c, m, p in names + phrases]

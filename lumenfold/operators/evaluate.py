@@ -6,11 +6,17 @@ expected_geometry, ground_truth, failure. A rate is null where any of its values
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.vectors import jaccard
 from lumenfold.operators.extract import match
+from lumenfold.session import cut
+
+#: Blocks of method sets on either side of the pairs.
+BLOCKS = 8
 
 
 def matched(results: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -33,46 +39,70 @@ def jaccard_pairs(results: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.system").alias("system"), name.alias("pair"), jaccard(F.col("a.methods"), F.col("b.methods")).alias("similarity"))
 
 
+def jaccard_map(results: DataFrame) -> DataFrame:
+    """system, pairs: a map from each pair of a system's prompts to its similarity; a system's prompts are one design."""
+    return jaccard_pairs(results).groupBy("system").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pair", "similarity")))).alias("pairs"))
+
+
+def pair_statistics(sets: DataFrame) -> DataFrame:
+    """(system, methods, n prompts that have that set) -> system, mean, min, max and number of pairs of prompts.
+
+    Prompts with equal sets are counted, not paired, so the join is over distinct sets only. It is dealt by blocks of
+    sets on both sides, so a system with most of the sets is BLOCKS * BLOCKS tasks.
+    """
+    keyed = sets.select("system", "methods", "n", F.to_json("methods").alias("k")).withColumn("own", F.pmod(F.xxhash64("k"), F.lit(BLOCKS)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    a = keyed.withColumns({"i": F.col("own"), "j": every}).alias("a")
+    b = keyed.withColumns({"j": F.col("own"), "i": every}).alias("b")
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("system", "i", "j")))
+    unlike = a.join(b, same & (F.col("a.k") < F.col("b.k"))).select(F.col("a.system").alias("system"), jaccard(F.col("a.methods"), F.col("b.methods")).alias("s"), (F.col("a.n") * F.col("b.n")).alias("w"))
+    equal = sets.where("n > 1").select("system", F.lit(1.0).alias("s"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("w"))
+    return unlike.union(equal).groupBy("system").agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("mean"), F.min("s").alias("min"), F.max("s").alias("max"), F.sum("w").alias("pairs"))
+
+
 def jaccard_summary(results: DataFrame) -> DataFrame:
     """system, mean, min, max and number of pairs of its prompts; nulls below two prompts.
 
-    Prompts with equal sets are counted, not paired, so the join is over distinct sets only.
+    The distinct sets are written once, so that what made the results, such as an extraction, runs once as well.
     """
-    sets = method_sets(results).groupBy("system", F.array_sort("methods").alias("methods")).agg(F.count(F.lit(1)).alias("n"))
-    keyed = sets.withColumn("k", F.to_json("methods"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    unlike = a.join(b, (F.col("a.system") == F.col("b.system")) & (F.col("a.k") < F.col("b.k"))).select(F.col("a.system").alias("system"), jaccard(F.col("a.methods"), F.col("b.methods")).alias("s"), (F.col("a.n") * F.col("b.n")).alias("w"))
-    equal = sets.where("n > 1").select("system", F.lit(1.0).alias("s"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("w"))
-    pairs = unlike.union(equal).groupBy("system").agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("mean"), F.min("s").alias("min"), F.max("s").alias("max"), F.sum("w").alias("pairs"))
-    return results.select("system").distinct().join(pairs, "system", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+    sets = cut(method_sets(results).groupBy("system", F.array_sort("methods").alias("methods")).agg(F.count(F.lit(1)).alias("n")))
+    return results.select("system").distinct().join(pair_statistics(sets), "system", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
 
 
-def whole_rate(value: Column) -> Column:
-    """Mean of a boolean, null if any value is or there is none."""
-    return F.when(F.count(F.lit(1)) == F.count(value), F.avg(value.cast("double")))
+def profiles(results: DataFrame, prompts: DataFrame) -> DataFrame:
+    """How many of a system's rows have the same outcome: system, success, matches, clustering, methods, n; written once."""
+    lowered = F.array_sort(F.array_distinct(F.transform(F.coalesce("extracted_methods", F.array().cast("array<string>")), F.lower)))
+    rows = matched(results, prompts).select("system", F.coalesce("success", F.lit(False)).alias("success"), F.col("details.matches").alias("matches"), F.col("mentions_clustering").alias("clustering"), lowered.alias("methods"))
+    return cut(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")))
 
 
 def system_metrics(results: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Rates by system over its successful rows. The match rate is null where a single match is."""
+    rows = profiles(results, prompts)
     good = F.col("success")
-    judged = matched(results, prompts)
-    rates = judged.groupBy("system").agg(
-        F.when(F.count_if(good) == F.count_if(good & F.col("details.matches").isNotNull()), F.avg(F.when(good, F.col("details.matches").cast("double")))).alias("ground_truth_match_rate"),
-        F.avg(F.when(good, F.col("mentions_clustering").cast("double"))).alias("clustering_for_all_rate"),
-        F.count_if(good).alias("prompts_evaluated"),
-        (F.count(F.lit(1)) - F.count_if(good)).alias("prompts_failed"),
-    )
-    pairs = jaccard_summary(results).select("system", F.col("mean").alias("jaccard_similarity_across_prompts"), F.col("min").alias("jaccard_min"), F.col("max").alias("jaccard_max"))
-    return rates.join(pairs, "system", "left")
+    number = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    rate = lambda flag: number(good & F.col(flag)) / F.nullif(number(good & F.col(flag).isNotNull()), F.lit(0))
+    rates = rows.groupBy("system").agg(
+        F.when(number(good) == number(good & F.col("matches").isNotNull()), rate("matches")).alias("ground_truth_match_rate"),
+        rate("clustering").alias("clustering_for_all_rate"), number(good).alias("prompts_evaluated"), number(~good).alias("prompts_failed"),
+    )
+    pairs = pair_statistics(rows.where(good).groupBy("system", "methods").agg(F.sum("n").alias("n")))
+    named = pairs.select("system", F.col("mean").alias("jaccard_similarity_across_prompts"), F.col("min").alias("jaccard_min"), F.col("max").alias("jaccard_max"))
+    return rates.join(named, "system", "left")
 
 
 def format_metric(value: Column, spec: str = ".2f") -> Column:
-    digits = spec[1]
-    text = F.format_string(f"%.{digits}f%%", value * 100) if spec.endswith("%") else F.format_string(f"%.{digits}f", value)
-    return F.when(value.isNull(), F.lit("n/a")).otherwise(text)
+    """Text of a number, n/a without one; ties of its decimal digits go to the even one."""
+    digits, percent = int(spec[1]), spec.endswith("%")
+    rounded = F.bround(value.cast("double") * (100 if percent else 1), digits)
+    return F.when(value.isNull(), F.lit("n/a")).otherwise(F.format_string(f"%.{digits}f" + "%%" * percent, rounded))
 
 
 def summary_table(metrics: DataFrame, kind: str = "markdown") -> DataFrame:
-    """One row, `summary`: the table's text, systems in order of name. Metrics have a row a system."""
+    """One row, `summary`: the table's text, systems in order of name. Metrics have a row a system.
+
+    Headings and rules are fixed values.
+    """
     j, g, c = (F.col(n) for n in ("jaccard_similarity_across_prompts", "ground_truth_match_rate", "clustering_for_all_rate"))
     if kind == "markdown":
         row = F.concat(F.lit("| "), F.col("system"), F.lit(" | "), format_metric(j), F.lit(" | "), format_metric(g, ".1%"), F.lit(" | "), format_metric(c, ".1%"), F.lit(" |"))

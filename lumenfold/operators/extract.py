@@ -1,7 +1,7 @@
 """Methods that a text recommends: names and phrases, minus those that a local cue rejects.
 
 Everything happens inside the row, so the operator needs no shuffle: mentions are an array of spans, and each is kept
-or rejected by its clause. Texts without any mention never meet the single patterns.
+or rejected by its clause. Texts without a pattern's letters never meet the pattern.
 """
 
 from __future__ import annotations
@@ -13,15 +13,13 @@ from lumenfold.functions import vocabulary as v
 from lumenfold.functions.text import let, method_key, plain, spans
 
 FLAGGED = ("clustering", "trajectory", "cell_cycle", "spatial")
-MENTION = "array<struct<category: string, method: string, start: int, end: int>>"
 
 
 def mentions(text: Column) -> Column:
-    """All mentions in a plain text."""
-    known = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(m).alias("method"), F.lit(p).alias("pattern")) for c, m, p in v.patterns()))
+    """All mentions in a plain text. A pattern is tried only where the letters that each of its matches has occur."""
+    known = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(m).alias("method"), F.lit(p).alias("pattern"), F.lit(n).alias("needle")) for c, m, p, n in v.patterns()))
     each = lambda k: F.transform(spans(text, k["pattern"]), lambda s: F.struct(k["category"].alias("category"), k["method"].alias("method"), s["start"].alias("start"), s["end"].alias("end")))
-    any_of = "(?U)" + "|".join(p.removeprefix("(?U)") for _, _, p in v.patterns())
-    return F.when(text.rlike(any_of), F.flatten(F.transform(known, each))).otherwise(F.array().cast(MENTION))
+    return F.flatten(F.transform(F.filter(known, lambda k: F.contains(text, k["needle"])), each))
 
 
 def widest(found: Column) -> Column:

@@ -7,14 +7,19 @@ the maximum-likelihood intrinsic dimension, trustworthiness and continuity of a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+import time
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.vectors import cosine_distance, distance, menger, total
+from lumenfold.session import cut
 
 CORE = ("beta_0", "beta_1", "participation_ratio", "local_intrinsic_dim")
 WHOLE = ("beta_0", "beta_1")
@@ -53,10 +58,14 @@ def measured(value: Column, requested: Column, error: Column | None = None) -> C
     return F.struct(status.alias("status"), F.when(status == "measured", value).alias("value"), F.when(status == "failed", failure).alias("reason"))
 
 
-def normalised(values: Column, first_of_tuple: Column, whole: Column) -> Column:
-    """A metric's answer as a number: the first of a tuple, the mean of an array; truncated for counts."""
-    number = F.when(first_of_tuple, F.get(values, F.lit(0))).otherwise(F.when(F.size(values) > 0, total(values) / F.greatest(F.size(values), F.lit(1))))
-    return F.when(whole & number.isNotNull() & ~F.isnan(number), number.cast("long").cast("double")).otherwise(number)
+def number(answer: DataFrame) -> Column:
+    """A metric's answer as a number: `value` itself, the first of an array `pair`, the mean of an array `samples`."""
+    mean = lambda c: F.when(F.size(c) > 0, total(c) / F.greatest(F.size(c), F.lit(1)))
+    ways = {"value": lambda c: c.cast("double"), "pair": lambda c: F.get(c, F.lit(0)).cast("double"), "samples": lambda c: mean(F.transform(c, lambda x: x.cast("double")))}
+    for name, way in ways.items():
+        if name in answer.columns:
+            return way(F.col(name))
+    raise ValueError(f"a metric's answer has one of the columns {list(ways)}, not {answer.columns}")
 
 
 def legacy(status: Column) -> Column:
@@ -82,17 +91,25 @@ def deltas(measurements: DataFrame, strict: bool = True) -> DataFrame:
 def participation_ratio(vectors: DataFrame, group: str, state: str = "state") -> DataFrame:
     """(sum of eigenvalues)^2 / sum of squares of a group's covariance, from its trace and its squared entries.
 
-    Sums of products are combined before the shuffle, so a group of any size is d * d numbers a task.
+    Sums of products are made by matrix products of an Arrow batch's vectors, and combined before the shuffle, so a
+    group of any size is d * d numbers a batch.
     """
-    n = vectors.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    one = vectors.select(group, F.posexplode(state).alias("i", "x"))
-    means = one.groupBy(group, "i").agg(F.sum(F.col("x").cast("double")).alias("s"))
-    pairs = vectors.select(group, F.col(state).alias("v"), F.posexplode(state).alias("i", "x")).select(group, "i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
-    products = pairs.groupBy(group, "i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("xy"))
-    a, b = means.select(group, "i", F.col("s").alias("si")), means.select(group, F.col("i").alias("j"), F.col("s").alias("sj"))
-    cov = products.join(a, [group, "i"]).join(b, [group, "j"]).join(n, group).select(group, "i", "j", ((F.col("xy") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("c"), "n")
+    schema = f"g {vectors.schema[group].dataType.simpleString()}, n long, i int, j int, s double, xy double"
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, own in frame.groupby("g", dropna=False):
+                x = np.stack(own["x"].to_numpy()).astype(float)
+                i, j = np.triu_indices(x.shape[1])
+                yield pd.DataFrame({"g": key, "n": len(x), "i": i, "j": j, "s": np.where(i == j, x.sum(0)[i], 0.0), "xy": (x.T @ x)[i, j]})
+
+    cells = vectors.select(F.col(group).alias("g"), F.col(state).alias("x")).mapInPandas(products, schema)
+    summed = cells.groupBy("g", "i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("xy").alias("xy"))
+    means = summed.where("i = j").select("g", F.col("i").alias("k"), F.col("s").alias("sk"))
+    a, b = means.select("g", F.col("k").alias("i"), F.col("sk").alias("si")), means.select("g", F.col("k").alias("j"), F.col("sk").alias("sj"))
+    cov = summed.where("n > 1").join(a, ["g", "i"]).join(b, ["g", "j"]).select("g", "i", "j", ((F.col("xy") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("c"))
     squares = F.sum(F.when(F.col("i") == F.col("j"), F.col("c") ** 2).otherwise(2 * F.col("c") ** 2))
-    return cov.where("n > 1").groupBy(group).agg((F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))) ** 2 / F.nullif(squares, F.lit(0.0))).alias("participation_ratio"))
+    return cov.groupBy(F.col("g").alias(group)).agg((F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))) ** 2 / F.nullif(squares, F.lit(0.0))).alias("participation_ratio"))
 
 
 def neighbours(vectors: DataFrame, k: int, group: str = "group", state: str = "state") -> DataFrame:
@@ -116,6 +133,22 @@ def intrinsic_dimension(vectors: DataFrame, k: int = 10, group: str = "group") -
     return point.groupBy(group).agg(F.avg("lid").alias("local_intrinsic_dim"))
 
 
+def connected_parts(vectors: DataFrame, k: int = 5, group: str = "group") -> DataFrame:
+    """Connected parts of each group's graph of k nearest neighbours, links taken both ways: group, connected_components."""
+    near = cut(neighbours(vectors, k, group).select(group, F.col("id").alias("a"), F.col("other").alias("b")))
+    links = near.union(near.select(group, F.col("b").alias("a"), F.col("a").alias("b")))
+    now = cut(vectors.select(group, "id", F.col("id").alias("part")))
+    while True:
+        # Each point takes the least label around it, and then the label of its label's point.
+        least = links.join(now, (links[group] == now[group]) & (links["b"] == now["id"])).groupBy(links[group], links["a"].alias("id")).agg(F.min("part").alias("m"))
+        moved = now.join(least, [group, "id"], "left").select(group, "id", F.least("part", F.coalesce("m", "part")).alias("part"))
+        jumped = moved.join(moved.select(group, F.col("id").alias("part"), F.col("part").alias("further")), [group, "part"]).select(group, "id", F.least("part", "further").alias("part"))
+        following = cut(jumped)
+        if following.exceptAll(now).isEmpty():
+            return now.groupBy(group).agg(F.count_distinct("part").alias("connected_components"))
+        now = following
+
+
 def anisotropy(vectors: DataFrame, group: str, state: str = "state") -> DataFrame:
     """Length of the mean of a group's unit vectors, squared: the mean cosine over all pairs with themselves."""
     size = F.sqrt(total(F.transform(state, lambda x: x.cast("double") * x.cast("double"))))
@@ -147,21 +180,50 @@ def preserved(before: DataFrame, after: DataFrame, k: int, group: str = "group")
     return score(before, after, "trustworthiness").join(score(after, before, "continuity"), group)
 
 
-def trajectory(raw: DataFrame, transforms: Sequence[Callable[[DataFrame], DataFrame]], metrics: dict[str, Callable[[DataFrame], DataFrame]], requested: Sequence[str]) -> DataFrame:
-    """Measurements of the raw vectors and after each transform: step, metric, status, value, reason.
+def measure(vectors: DataFrame, metrics: dict[str, Callable[[DataFrame], DataFrame] | None], requested: Sequence[str]) -> list[tuple]:
+    """(metric, status, value, reason) of each metric on one set of vectors.
+
+    A metric is a plan of one row with a column as `number` takes it. One that fails, in planning or in running, is
+    failed with its error, and the others stand.
+    """
+    out = []
+    for name, metric in metrics.items():
+        if name not in requested:
+            out.append((name, "not_requested", None, None))
+            continue
+        try:
+            answer = metric(vectors)
+            row = answer.select(number(answer).alias("v")).first()
+            value = None if row is None else row["v"]
+            if value is None or not math.isfinite(value):
+                out.append((name, "failed", None, NON_FINITE))
+            else:
+                out.append((name, "measured", float(int(value)) if name in WHOLE else value, None))
+        except Exception as error:  # noqa: BLE001 - any metric may fail, and its failure is the measurement
+            out.append((name, "failed", None, f"{type(error).__name__}: {error}"[:500]))
+    return out
+
 
-    A metric is a plan with one row, `value`; one that can't be planned is failed, and the others stand.
+def trajectory(raw: DataFrame, transforms: Sequence[Callable[[DataFrame], DataFrame]], metrics: dict[str, Callable[[DataFrame], DataFrame] | None], requested: Sequence[str], folder: str | None = None) -> DataFrame:
+    """Measurements of the raw vectors and after each transform: step, metric, status, value, reason, seconds.
+
+    Each step's vectors are written once, as step=k of the folder or else as a checkpoint, and all metrics read them.
     """
-    out, now = None, raw
+    spark, rows, now = raw.sparkSession, [], raw
     for step, change in enumerate([None, *transforms]):
+        began = time.perf_counter()
         now = change(now) if change else now
-        for name in metrics:
-            asked = name in requested
-            try:
-                row = metrics[name](now).select(F.col("value").cast("double").alias("v"), F.lit(None).cast("string").alias("e")) if asked else now.sparkSession.range(1).select(F.lit(None).cast("double").alias("v"), F.lit(None).cast("string").alias("e"))
-            except Exception as error:  # noqa: BLE001 - any metric may fail, and its failure is the measurement
-                row = now.sparkSession.range(1).select(F.lit(None).cast("double").alias("v"), F.lit(f"{type(error).__name__}: {error}").alias("e"))
-            m = measured(F.col("v"), F.lit(asked), F.col("e"))
-            row = row.select(F.lit(step).alias("step"), F.lit(name).alias("metric"), m.alias("m")).select("step", "metric", "m.*")
-            out = row if out is None else out.union(row)
-    return out
+        if folder:
+            now.write.mode("overwrite").parquet(f"{folder}/step={step}")
+            now = spark.read.parquet(f"{folder}/step={step}")
+        else:
+            now = cut(now)
+        took = time.perf_counter() - began if change else 0.0
+        rows += [(step, *m, took) for m in measure(now, metrics, requested)]
+    return spark.createDataFrame(rows, "step int, metric string, status string, value double, reason string, seconds double")
+
+
+def timings(times: DataFrame, key: str, seconds: str = "seconds") -> DataFrame:
+    """key, n, mean, std (of the whole, not of a sample), low and high of the times."""
+    t = F.col(seconds)
+    return times.groupBy(key).agg(F.count(t).alias("n"), F.avg(t).alias("mean"), F.stddev_pop(t).alias("std"), F.min(t).alias("low"), F.max(t).alias("high"))

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenfold.session import cut
+
 Transform = Callable[..., DataFrame]
 CONDITIONS = ("equals", "greater_than", "less_than", "contains")
 
@@ -20,7 +23,12 @@ CONDITIONS = ("equals", "greater_than", "less_than", "contains")
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN as null."""
     kind = df.schema[name].dataType
-    return F.nanvl(F.col(name), F.lit(None).cast(kind)) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(name)
+    return F.nanvl(df[name], F.lit(None).cast(kind)) if isinstance(kind, (T.DoubleType, T.FloatType)) else df[name]
+
+
+def _numbers(df: DataFrame, name: str) -> Column:
+    """Whether a value isn't NaN, true for columns that can't hold one."""
+    return ~F.isnan(name) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else F.lit(True)
 
 
 def _need(df: DataFrame, *names: str) -> None:
@@ -35,7 +43,8 @@ def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) ->
     both = [c for c in left.columns if c in right.columns and c not in keys]
     a = left.select(*(F.col(c).alias(f"{c}_x" if c in both else c) for c in left.columns))
     b = right.select(*(F.col(c).alias(f"__r_{c}" if c in keys else f"{c}_y" if c in both else c) for c in right.columns))
-    match = reduce(Column.__and__, (a[k].eqNullSafe(b[f"__r_{k}"]) for k in keys))
+    # NaN and null are one missing key, whichever of them a side has.
+    match = reduce(Column.__and__, (present(a, k).eqNullSafe(present(b, f"__r_{k}")) for k in keys))
     merged = a.join(b, match, how)
     own = [F.coalesce(a[k], b[f"__r_{k}"]).alias(k) if how == "full" else a[k] for k in keys]
     return merged.select(*own, *(c for c in a.columns if c not in keys), *(c for c in b.columns if not c.startswith("__r_")))
@@ -76,9 +85,10 @@ def filter_by(df: DataFrame, column: str, condition: str, value) -> DataFrame:
     _need(df, column)
     if condition not in CONDITIONS:
         raise ValueError(f"unknown condition {condition!r}; one of {CONDITIONS}")
-    c = present(df, column)
+    c = F.col(column)
+    # Plain comparisons, which drop nulls and reach the scan; NaN lies above all numbers.
     test = {"equals": lambda: c == value, "greater_than": lambda: c > value, "less_than": lambda: c < value, "contains": lambda: c.cast("string").rlike(value)}
-    return df.where(F.coalesce(test[condition](), F.lit(False)))
+    return df.where(test[condition]()).where(_numbers(df, column) if condition != "less_than" else F.lit(True))
 
 
 def rank_by(df: DataFrame, column: str, ascending: bool = False, top: int | None = None, tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -91,7 +101,7 @@ def rank_by(df: DataFrame, column: str, ascending: bool = False, top: int | None
 
 def above(df: DataFrame, threshold: float = 0.0, column: str = "score") -> DataFrame:
     _need(df, column)
-    return df.where(present(df, column) >= threshold)
+    return df.where(F.col(column) >= threshold).where(_numbers(df, column))
 
 
 def score_and_rank(df: DataFrame, scorer: Transform | None, threshold: float = 0.0, max_results: int | None = None, tiebreak: Sequence[str] = (), **params) -> DataFrame:
@@ -102,10 +112,14 @@ def score_and_rank(df: DataFrame, scorer: Transform | None, threshold: float = 0
     return rank_by(above(scored, threshold), "score", top=max_results, tiebreak=tiebreak)
 
 
+def unit_interval(*parts: Column) -> Column:
+    """A number from 0 to 1 by the hash of what is given, the same on all engines that have MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def simulated_scores(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """A uniform score by hash of a key, the same however the rows are dealt out, marked as simulated."""
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / F.lit(float(1 << 53))
-    return df.withColumn("score", unit).withColumn("score_simulated", F.lit(True))
+    return df.withColumn("score", unit_interval(F.lit(str(seed)), F.col(key).cast("string"))).withColumn("score_simulated", F.lit(True))
 
 
 def transform(df: DataFrame, fn: Transform | None, **params) -> DataFrame:
@@ -117,8 +131,11 @@ def transform(df: DataFrame, fn: Transform | None, **params) -> DataFrame:
     return out
 
 
-def validate(df: DataFrame, validator: Transform | None, mode: str = "strict", **params) -> tuple[DataFrame, DataFrame]:
-    """-> (passed, flagged). strict: rows with any true *_flag are flagged. Any other mode keeps all rows."""
+def validate(df: DataFrame, validator: Transform | None, mode: str = "strict", once: bool = False, **params) -> tuple[DataFrame, DataFrame]:
+    """-> (passed, flagged). strict: rows with any true *_flag are flagged. Any other mode keeps all rows.
+
+    once: the validator's rows are written before they are split, for one that is slow or draws at random.
+    """
     if validator is None:
         raise ValueError("filter_function is required")
     checked = transform(df, validator, **params)
@@ -127,6 +144,7 @@ def validate(df: DataFrame, validator: Transform | None, mode: str = "strict", *
         raise ValueError("the validator gave no flag column")
     if mode != "strict":
         return checked, checked.where(F.lit(False))
+    checked = cut(checked) if once else checked
     bad = reduce(Column.__or__, (F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in flags))
     return checked.where(~bad), checked.where(bad)
 
@@ -137,15 +155,32 @@ def finite(array: str, least: int = 1) -> Column:
     return F.coalesce((F.size(array) >= least) & ok, F.lit(False))
 
 
-def contract_violation(success: str = "success", summary: str = "summary", files: str = "output_files") -> Column:
-    """Name of the first missing field of an adapter's result, or null."""
-    return F.coalesce(*(F.when(F.col(c).isNull(), F.lit(c)) for c in (success, summary, files)))
+def finite_matrix(rows: str, columns: int | None = None) -> Column:
+    """Whether an array of arrays has rows of one length, the given one if there is one, and only finite numbers."""
+    width = F.lit(columns) if columns else F.size(F.get(F.col(rows), F.lit(0)))
+    ok = F.forall(rows, lambda r: (F.size(r) == width) & F.forall(r, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    return F.coalesce((F.size(rows) > 0) & (width > 0) & ok, F.lit(False))
+
+
+def contract_violation(df: DataFrame, success: str = "success", summary: str = "summary", files: str = "output_files") -> Column:
+    """What is wrong with an adapter's result first: a column that is absent, of the wrong type, or null; else null."""
+    wanted = ((success, T.BooleanType), (summary, T.StringType), (files, (T.MapType, T.StructType)))
+    found = []
+    for name, kind in wanted:
+        if name not in df.columns:
+            found.append(F.lit(f"missing {name}"))
+        elif not isinstance(df.schema[name].dataType, kind):
+            found.append(F.lit(f"{name} is {df.schema[name].dataType.simpleString()}"))
+        else:
+            found.append(F.when(F.col(name).isNull(), F.lit(f"missing {name}")))
+    return F.coalesce(*found)
 
 
 def grid(spark: SparkSession, **values: Sequence) -> DataFrame:
-    """The product of parameter lists, one row a job."""
-    frames = [spark.createDataFrame([(v,) for v in vs], f"{name} {'string' if isinstance(vs[0], str) else 'bigint' if isinstance(vs[0], int) else 'double'}") for name, vs in values.items()]
-    return reduce(DataFrame.crossJoin, frames)
+    """The product of parameter lists, one row a job; a design is written by hand, so the driver makes it."""
+    kinds = {bool: "boolean", str: "string", int: "bigint", float: "double"}
+    schema = ", ".join(f"{name} {kinds[type(vs[0])]}" for name, vs in values.items())
+    return spark.createDataFrame(list(product(*values.values())), schema)
 
 
 def dedupe_registry(entries: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions.vocabulary import INSPECTION, METHODS, patterns
 from lumenfold.session import read_table
 
 PROMPTS = (
@@ -34,12 +35,13 @@ def prompts(spark: SparkSession) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A response a document: system is its source, the prompt and the text go by doc_id, one in 13 calls fails."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    """A response a document: its whole text and a recommendation after it. System is its source, the prompt and the
+    recommendation go by doc_id, one in 13 calls fails."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     texts = F.array(*(F.lit(r[0]) for r in RESPONSES))
     return d.select(
         "doc_id", F.concat(F.lit("p"), F.expr("(doc_id div 7) % 4").cast("string")).alias("prompt_id"), F.col("source").alias("system"), F.col("doc_id").alias("pos"),
-        (F.col("doc_id") % 13 != 5).alias("success"), F.get(texts, (F.col("doc_id") % 10).cast("int")).alias("text"),
+        (F.col("doc_id") % 13 != 5).alias("success"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.get(texts, (F.col("doc_id") % 10).cast("int"))).alias("text"),
     )
 
 
@@ -48,9 +50,18 @@ def _list(xs) -> str:
 
 
 PROMPTS_SQL = "prompts AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {repr(g) if g else 'NULL'}, {_list(t)}, {_list(f)})" for p, g, t, f in PROMPTS) + ") v(prompt_id, expected_geometry, ground_truth, failure))"
+def found_sql(text: str) -> str:
+    """(category, method) of the names and phrases in a text, as a list without order, by DuckDB's regular expressions."""
+    tests = ", ".join(f"CASE WHEN regexp_matches({text}, '{p.removeprefix('(?U)')}') THEN {{'c': '{c}', 'm': '{m}'}} END" for c, m, p, _ in patterns())
+    return f"[x FOR x IN [{tests}] IF x IS NOT NULL]"
+
+
 RESULTS_SQL = (
-    "said AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}', {_list(m)}, {c}, {j}, {y}, {n})" for i, (t, m, c, j, y, n) in enumerate(RESPONSES)) + ") v(k, text, extracted_methods, mentions_clustering, mentions_trajectory, mentions_cell_cycle, mentions_data_inspection)), "
-    "results AS (SELECT doc_id, 'p' || ((doc_id // 7) % 4) AS prompt_id, source AS system, doc_id AS pos, doc_id % 13 <> 5 AS success, said.* EXCLUDE (k) FROM documents JOIN said ON doc_id % 10 = k)"
+    "said AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}', {_list(m)}, {c}, {j}, {y}, {n})" for i, (t, m, c, j, y, n) in enumerate(RESPONSES)) + ") v(k, advice, ms, mc, mt, my, mi)), "
+    f"own AS (SELECT doc_id, source, text, {found_sql('lower(coalesce(text, chr(32)))')} AS f, regexp_matches(lower(coalesce(text, '')), '" + "|".join(INSPECTION) + "') AS looked FROM documents), "
+    "results AS (SELECT doc_id, 'p' || ((doc_id // 7) % 4) AS prompt_id, source AS system, doc_id AS pos, doc_id % 13 <> 5 AS success, list_sort(list_distinct(list_concat(ms, [x.m FOR x IN f]))) AS extracted_methods, "
+    "mc OR list_contains([x.c FOR x IN f], 'clustering') AS mentions_clustering, mt OR list_contains([x.c FOR x IN f], 'trajectory') AS mentions_trajectory, my OR list_contains([x.c FOR x IN f], 'cell_cycle') AS mentions_cell_cycle, mi OR looked AS mentions_data_inspection "
+    "FROM own JOIN said ON doc_id % 10 = k)"
 )
 #: Normalised names, as the matching rule compares them.
 KEYS_SQL = "[regexp_replace(regexp_replace(lower(trim(x)), '[_\\-\\s]+', '_', 'g'), '[^a-z0-9_]', '', 'g') FOR x IN {}]"
@@ -60,10 +71,12 @@ JUDGED_SQL = (
 )
 
 
+#: All names, in order of category.
+NAMES = [m for ms in METHODS.values() for m in ms]
+
+
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token states: a trace a label, tokens in order of vec_id, one layer."""
-    from pyspark.sql import Window
-
     e = read_table(spark, sf_dir, "embeddings")
     return e.select(F.col("label").alias("trace_id"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("token_idx"), F.lit(0).alias("layer"), F.col("embedding").alias("state"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text
+from lumenfold.operators import measurements as m
 from lumenfold.operators import tabular as t
-from lumenfold.session import read_table
-from lumenfold.sources import loaders
+from lumenfold.session import read_table, shared_path
+from lumenfold.sources import loaders, sinks
 
 QUERIES, ORACLES = {}, {}
 
@@ -110,7 +111,10 @@ def rank_ascending(spark, sf):
     return t.rank_by(_scores(read_table(spark, sf, "customer")), "score", ascending=True, top=40, tiebreak=["c_custkey"]).withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
 
 
-@query()
+UNIT = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+@query(f"SELECT c_custkey, {UNIT.format("'7:' || c_custkey")} AS score, true AS score_simulated FROM customer")
 def random_scores(spark, sf):
     return t.simulated_scores(read_table(spark, sf, "customer").select("c_custkey"), "c_custkey", 7)
 
@@ -154,11 +158,12 @@ def finite_arrays(spark, sf):
     return read_table(spark, sf, "embeddings").select("vec_id", t.finite("embedding").alias("finite"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'success' WHEN doc_id % 7 = 0 THEN 'summary' WHEN doc_id % 11 = 0 THEN 'output_files' END AS violation FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing success' WHEN length(text) < 400 THEN 'missing summary' WHEN doc_id % 11 = 0 THEN 'missing output_files' END AS violation FROM documents")
 def contract_violations(spark, sf):
+    """Results whose summary is a text of the corpus; short ones count as none."""
     d = F.col("doc_id")
-    rows = read_table(spark, sf, "documents").select("doc_id", F.when(d % 5 != 0, F.lit(True)).alias("success"), F.when(d % 7 != 0, "ok").alias("summary"), F.when(d % 11 != 0, F.create_map(F.lit("a"), F.lit("b"))).alias("output_files"))
-    return rows.select("doc_id", t.contract_violation().alias("violation"))
+    rows = read_table(spark, sf, "documents").select("doc_id", F.when(d % 5 != 0, F.lit(True)).alias("success"), F.when(F.length("text") >= 400, F.col("text")).alias("summary"), F.when(d % 11 != 0, F.create_map(F.lit("a"), F.lit("b"))).alias("output_files"))
+    return rows.select("doc_id", t.contract_violation(rows).alias("violation"))
 
 
 @query("SELECT * FROM (VALUES ('a')) d(dataset), (VALUES (5), (10), (15)) k(neighbors), (VALUES ('pca'), ('umap'), ('phate'), ('tsne')) m(method), (VALUES (0.1), (0.5), (1.0)) s(spread)")
@@ -180,12 +185,56 @@ def registry_dedupe(spark, sf):
     return t.dedupe_registry(spark.createDataFrame(ENTRIES, "name string, file string, source string"))
 
 
-@query("SELECT doc_id, trim(list_extract(string_split('Work through it #### ' || (doc_id % 97) || ' #### ' || (doc_id * 3) || ' ', '####'), -1)) AS answer FROM documents")
+@query("SELECT doc_id, trim(list_extract(string_split(coalesce(text, '') || ' #### ' || (doc_id % 97) || ' #### ' || (doc_id * 3) || ' ' || source || ' ', '####'), -1)) AS answer FROM documents")
 def dataset_answers(spark, sf):
-    worked = F.concat(F.lit("Work through it #### "), (F.col("doc_id") % 97).cast("string"), F.lit(" #### "), (F.col("doc_id") * 3).cast("string"), F.lit(" "))
+    """Whole texts as the working before two marks; what follows the last one is the answer."""
+    worked = F.concat(F.coalesce("text", F.lit("")), F.lit(" #### "), (F.col("doc_id") % 97).cast("string"), F.lit(" #### "), (F.col("doc_id") * 3).cast("string"), F.lit(" "), F.col("source"), F.lit(" "))
     return read_table(spark, sf, "documents").select("doc_id", loaders.answer(worked).alias("answer"))
 
 
+@query("SELECT 'gsm8k_train_' || (row_number() OVER (ORDER BY item_id) - 1) AS task_id, text AS prompt, (item_id * 3)::VARCHAR AS expected_answer, 'math' AS domain, 'arithmetic' AS logic_type FROM benchmark ORDER BY item_id LIMIT 25")
+def dataset_tasks(spark, sf):
+    rows = read_table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), F.concat(F.lit("so it is #### "), (F.col("item_id") * 3).cast("string")).alias("answer"))
+    return loaders.tasks(rows, "item_id", 25)
+
+
+MOCKED = f"mocked AS (SELECT item_id::VARCHAR AS prompt_id, text, {UNIT.format("'3:' || item_id")} < 0.3 AS failed FROM benchmark)"
+
+
+@query(f"WITH {MOCKED} SELECT 'mock' AS system, prompt_id, NOT failed AS success, CASE WHEN failed THEN 'Simulated failure (mock adapter)' ELSE 'Mock response generated (' || (391 + length(length(text)::VARCHAR)) || ' chars)' END AS summary, CASE WHEN failed THEN 'simulated failure' END AS error, CASE WHEN NOT failed THEN length(text) END AS prompt_length FROM mocked")
+def mock_failures(spark, sf):
+    """A mock system on the benchmark's items, three of ten calls failing; the response tells the prompt's length."""
+    rows = loaders.mock_results(read_table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), "text"), fail_rate=0.3, seed=3)
+    told = F.regexp_extract("raw_response", r"prompt length: (\d+) chars", 1)
+    return rows.select("system", "prompt_id", "success", "summary", "error", F.when(F.col("success"), told.cast("long")).alias("prompt_length"))
+
+
+@query("SELECT source AS system, doc_id::VARCHAR AS prompt_id, text AS raw_response FROM documents WHERE text IS NOT NULL")
+def response_files(spark, sf):
+    """Responses written as text files by system and prompt, and read back from them."""
+    folder = shared_path(spark, "responses")
+    rows = read_table(spark, sf, "documents").select(F.col("source").alias("system"), (F.col("doc_id") % 4).cast("string").alias("prompt_id"), F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")).alias("raw_response"))
+    sinks.save_responses(rows, folder)
+    body = F.split("raw_response", "\n", 2)
+    return sinks.read_responses(spark, folder).select("system", F.get(body, F.lit(0)).alias("prompt_id"), F.get(body, F.lit(1)).alias("raw_response"))
+
+
+@query("SELECT vec_id, label, e.label * 2 AS bonus, len(embedding) AS width, label % 3 AS trust FROM embeddings e")
+def merged_outputs(spark, sf):
+    """Embedding outputs with what another step adds; its embeddings don't replace the first one's."""
+    e = read_table(spark, sf, "embeddings")
+    base = e.select("vec_id", F.col("embedding").alias("embeddings"), "label", F.lit(0).alias("trust"))
+    more = e.select("vec_id", F.array(F.lit(0.0)).alias("embeddings"), (F.col("label") % 3).alias("trust"), (F.col("label") * 2).alias("bonus"))
+    return m.merged_outputs(base, more, "vec_id").select("vec_id", "label", "bonus", F.size("embeddings").cast("long").alias("width"), "trust")
+
+
+@query("SELECT vec_id, len(embedding) AS width, label / 10.0 AS trust, 'x' AS free FROM embeddings")
+def geometric_features(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    outputs = e.select("vec_id", F.col("embedding").alias("embeddings"), "label", F.struct((F.col("label") / F.lit(10.0)).alias("trust")).alias("scores"), F.lit("x").alias("free"))
+    return m.geometric_features(outputs, "vec_id").select("vec_id", F.size("embeddings").cast("long").alias("width"), "geometric_metrics.trust", "free")
+
+
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || ' k-Means__2.' || p_brand)), '[_\\-\\s]+', '_', 'g'), '[^a-z0-9_]', '', 'g') AS k FROM part")
 def normalise_names(spark, sf):
     return read_table(spark, sf, "part").select("p_partkey", text.method_key(F.concat("p_name", F.lit(" k-Means__2."), "p_brand")).alias("k"))
@@ -196,13 +245,12 @@ def truncate_text(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", text.truncated("text", 60).alias("text"))
 
 
-@query("SELECT event_id, CASE WHEN json_valid(p) THEN json_extract_string(p, '$.k') END AS k, CASE WHEN NOT json_valid(p) THEN 'invalid JSON' END AS error FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{\"k\": \"v' || event_id || '\"}' WHEN event_id % 3 = 1 THEN '{broken' END AS p FROM events)")
+@query("SELECT event_id, CASE WHEN json_valid(p) THEN json_extract_string(p, '$.k')::BIGINT END AS k, CASE WHEN NOT json_valid(p) THEN 'invalid JSON' END AS error FROM (SELECT event_id, CASE WHEN event_id % 3 = 1 THEN props[:length(props) - 1] ELSE props END AS p FROM events)")
 def parse_json(spark, sf):
-    e = F.col("event_id")
-    p = F.when(e % 3 == 0, F.concat(F.lit('{"k": "v'), e.cast("string"), F.lit('"}'))).when(e % 3 == 1, "{broken")
-    rows = read_table(spark, sf, "events").select("event_id", p.alias("p"))
-    value, error = text.parsed("p", "k string")
-    return rows.select("event_id", value["k"].alias("k"), error.alias("error"))
+    """The events' properties, a third of them cut short."""
+    p = F.when(F.col("event_id") % 3 == 1, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    value, error = text.parsed("p", "k bigint")
+    return read_table(spark, sf, "events").select("event_id", p.alias("p")).select("event_id", value["k"].alias("k"), error.alias("error"))
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2")

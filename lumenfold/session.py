@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Bytes of a batch of rows that goes to a Python worker; workers hold a few copies of one.
+BATCH_BYTES = 8_000_000
 
 
 def session(cores: str | int = "*", **conf: str) -> SparkSession:
@@ -38,10 +43,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. A local master may go without the setting and gets a
+    folder of its own; on a cluster that would be a folder that other machines don't see, and is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         folder = tempfile.mkdtemp(prefix="lumenfold-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -59,7 +69,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once an application."""
+    """Give the executors' Python workers this package, once an application, in batches of a bounded size: BATCH_BYTES
+    where the session has Spark's own default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_lumenfold_shipped", False):
         return

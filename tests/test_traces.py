@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.operators import geometry as g
+from lumenfold.operators import measurements as m
 from lumenfold.operators import traces as t
 
 
@@ -22,7 +23,7 @@ def test_delimiter(spark):
 
 
 def test_tags(spark):
-    each = {"tokens": lambda prefix: F.length(prefix)}
+    each = {"tokens": lambda characters: characters}
     s = segments(spark, "x<think>Repeat. Repeat.\nRepeat.</think>Done.", "tags", **each)
     assert [x[0] for x in s] == ["Repeat."] * 3 + ["Done."] and [x[2] for x in s] == [15, 23, 31, 44] and [x[3] for x in s][-2:] == ["thinking", "output"]
     assert [x[3] for x in segments(spark, "<think>Just thinking here.</think>", "tags")] == ["thinking"]
@@ -50,8 +51,11 @@ def test_store_and_summary(spark, tmp_path):
     df = spark.createDataFrame(rows, f"trace_id string, model {t.MODEL}, task {t.TASK}, steps array<{t.STEP}>, response_text string, success boolean")
     store = t.TraceStore(spark, str(tmp_path))
     store.append(df, spark.createDataFrame([("0", 0, 0, [1.0])], "trace_id string, token_idx int, layer int, state array<double>"))
-    store.append(df.limit(1))
+    store.append(df.limit(1), batch="again")
+    store.append(df.limit(1), batch="again")
     assert len(store) == 4 and len(list(store)) == 4 and store.states().count() == 1
+    assert store.load("0").first()["state"] == [1.0] and store.load("9") is None and t.TraceStore(spark, str(tmp_path / "none")).load("0") is None
+    assert {r["trace_id"]: r["has_tensors"] for r in store.read().where("has_tensors is not null").collect()} == {"0": True, "1": False, "2": False}
     s = t.summary(df).first()
     assert (s["total"], s["success"], s["failure"], s["unjudged"], s["backends"], s["datasets"]) == (3, 1, 1, 1, {"anthropic": 1, "local": 2}, {"gsm8k": 3})
     kept, refused = t.accepted(df.withColumn("steps", F.when(F.col("trace_id") == "0", F.slice("steps", 1, 1)).otherwise(F.col("steps"))))
@@ -67,8 +71,16 @@ def test_measurements(spark):
     assert [r["delta"] for r in g.deltas(m).orderBy("step").collect()] == [-5.0, -4.0]
     with pytest.raises(Exception, match="unavailable"):
         g.deltas(m.withColumn("status", F.lit("failed"))).collect()
-    steps = g.trajectory(spark.range(4), [lambda d: d.limit(2)], {"n": lambda d: d.agg(F.count(F.lit(1)).alias("value")), "bad": lambda d: d.select("no"), "off": None}, ["n", "bad"])
-    assert {(r["step"], r["metric"]): r["status"] for r in steps.collect()} == {(s, k): v for s in (0, 1) for k, v in (("n", "measured"), ("bad", "failed"), ("off", "not_requested"))}
+    metrics = {
+        "n": lambda d: d.agg(F.count(F.lit(1)).alias("value")), "bad": lambda d: d.select("no"), "late": lambda d: d.agg(F.sum(F.raise_error(F.lit("too late")).cast("int")).alias("value")), "off": None,
+        "pair": lambda d: d.agg(F.array(F.lit(0.0), F.lit(9.0)).alias("pair")), "samples": lambda d: d.agg(F.array(F.lit(1.0), F.lit(3.0)).alias("samples")), "empty": lambda d: d.agg(F.array().cast("array<double>").alias("samples")),
+        "beta_0": lambda d: d.agg(F.lit(2.9).alias("value")), "infinite": lambda d: d.agg(F.lit(float("inf")).alias("value")),
+    }
+    steps = g.trajectory(spark.range(4), [lambda d: d.limit(2)], metrics, [n for n in metrics if n != "off"])
+    got = {(r["step"], r["metric"]): (r["status"], r["value"]) for r in steps.collect()}
+    for s in (0, 1):
+        assert [got[s, k] for k in ("n", "bad", "late", "off", "pair", "samples", "empty", "beta_0", "infinite")] == [("measured", 4.0 - 2 * s), ("failed", None), ("failed", None), ("not_requested", None), ("measured", 0.0), ("measured", 2.0), ("failed", None), ("measured", 2.0), ("failed", None)]
+    assert "too late" in steps.where("metric = 'late'").first()["reason"] and steps.where("step = 0 and seconds <> 0").count() == 0
 
 
 def test_geometry(spark):
@@ -83,3 +95,88 @@ def test_geometry(spark):
     assert np.allclose(np.linalg.norm(flat[:, None] - flat[None], axis=2), np.linalg.norm(x[:, None] - x[None], axis=2))
     same = g.preserved(points, points, 5).first()
     assert (same["trustworthiness"], same["continuity"]) == (1.0, 1.0)
+
+
+def test_vectors(spark):
+    rows = [(1, "beta_0", "measured", 3.0, None), (1, "beta_1", "measured", 0.0, None), (1, "participation_ratio", "measured", 1.5, None), (1, "local_intrinsic_dim", "measured", 2.5, None), (2, "beta_0", "failed", None, "Boom: x"), (2, "extra", "measured", 7.0, None)]
+    v = m.vectors(spark.createDataFrame(rows, "id int, metric string, status string, value double, reason string"), "id")
+    got = {r["id"]: r for r in v.select("id", "vector", m.to_array(F.col("vector"), False).alias("a"), m.incomplete(F.col("vector")).alias("why"), m.unavailable(F.col("vector"), "beta_1").alias("b1")).collect()}
+    assert got[1]["a"] == [3.0, 0.0, 1.5, 2.5] and got[1]["why"] is None and got[1]["vector"]["beta_0"] == 3
+    assert got[2]["a"] is None and got[2]["why"] == "metric beta_0 failed: Boom: x" and got[2]["b1"] == "metric beta_1 was not requested" and got[2]["vector"]["beta_0"] == 0
+    with pytest.raises(Exception, match="beta_0 failed"):
+        v.select(m.to_array(F.col("vector"))).collect()
+    back = v.select("vector", m.vector_from_json(m.vector_json(F.col("vector"))).alias("b")).collect()
+    assert all(r["vector"] == r["b"] for r in back)
+    bare = spark.createDataFrame([('{"beta_0": 1, "beta_1": 2, "participation_ratio": 0.5, "local_intrinsic_dim": 3.0}',), ('{"beta_0": 1, "beta_1": 2, "participation_ratio": 0.5, "local_intrinsic_dim": 3.0, "measurements": null}',)], "j string")
+    for r in bare.select(m.vector_from_json(F.col("j")).alias("v"), m.incomplete(m.vector_from_json(F.col("j"))).alias("why")).collect():
+        assert r["v"]["participation_ratio"] == 0.5 and r["v"]["measurements"]["beta_1"]["status"] == "unknown" and "unknown legacy" in r["why"]
+    made = spark.createDataFrame([([1.0, 2.0, 0.5, 3.0],), ([1.0],)], "a array<double>")
+    assert made.limit(1).select(m.to_array(m.of_numbers(F.col("a"))).alias("a")).first()["a"] == [1.0, 2.0, 0.5, 3.0]
+    with pytest.raises(Exception, match="expected 4"):
+        made.select(m.of_numbers(F.col("a"))).collect()
+    wrong = v.where("id = 1").select(F.col("vector").withField("beta_0", F.lit(4).cast("bigint")).alias("vector"))
+    assert "inconsistent" in wrong.select(m.inconsistent(F.col("vector")).alias("w")).first()["w"]
+    with pytest.raises(Exception, match="inconsistent"):
+        m.all_consistent(wrong).collect()
+    assert m.complete_only(v).count() == 1
+    answers = spark.createDataFrame([(("measured", 2.0, None),), (("failed", 2.0, None),), ((None, None, [1.0, 3.0]),), (("measured", 4.0, [1.0]),)], "answer struct<status: string, scalar: double, per_sample: array<double>>")
+    assert [r[0] for r in answers.select(m.scores()).collect()] == [2.0, None, 2.0, 4.0]
+
+
+def test_trajectory_json(spark):
+    v = '{"beta_0": %d, "beta_1": %d, "participation_ratio": %s, "local_intrinsic_dim": %s, "measurements": {"beta_0": {"status": "measured", "value": %d}, "beta_1": {"status": "measured", "value": %d}, "participation_ratio": {"status": "measured", "value": %s}, "local_intrinsic_dim": {"status": "measured", "value": %s}}}'
+    numbers = [(10, 2, 0.1, 50.0), (5, 1, 0.3, 20.0), (1, 0, 0.6, 2.0)]
+    whole = '{"id": "t", "workflow": [{"algorithm": "pca", "params": {"k": "3"}}], "dataset_name": "d", "g_vectors": [%s], "executed_at": "2024-05-06T07:08:09", "total_time_seconds": 1.5, "per_step_times": [0.0, 1.0, 0.5], "embedding_paths": null}' % ", ".join(v % (x * 2) for x in numbers)
+    t1 = m.trajectory_from_json(F.col("j"))
+    r = spark.createDataFrame([(whole,)], "j string").select(t1.alias("t"), m.vector_deltas(t1).alias("d"), m.executed_at(t1).cast("string").alias("at"), m.trajectory_from_json(m.trajectory_json(t1)).alias("again")).first()
+    assert [x["beta_0"] for x in r["d"]] == [-5.0, -4.0] and [round(x["participation_ratio"], 6) for x in r["d"]] == [0.2, 0.3] and r["at"] == "2024-05-06 07:08:09" and r["t"] == r["again"]
+    with pytest.raises(Exception, match="unknown legacy"):
+        spark.createDataFrame([(whole.replace('"measurements"', '"other"'),)], "j string").select(m.vector_deltas(t1)).collect()
+
+
+def test_outputs(spark):
+    base = spark.createDataFrame([(1, [1.0], "a", 5)], "id int, embeddings array<double>, label string, free int")
+    more = spark.createDataFrame([(1, [9.0], 0.5, 6)], "id int, embeddings array<double>, scores double, free int")
+    r = m.merged_outputs(base, more, "id").first()
+    assert (r["embeddings"], r["scores"], r["free"], r["label"]) == ([1.0], 0.5, 6, "a")
+    assert m.geometric_features(m.merged_outputs(base, more, "id"), "id").columns == ["id", "embeddings", "geometric_metrics", "free"]
+    for bad in (base.drop("embeddings"), base.withColumn("embeddings", F.lit(1))):
+        with pytest.raises(ValueError):
+            m.checked_outputs(bad)
+
+
+def test_assembly(spark):
+    states = spark.createDataFrame([("a", i, 0, [float(i), 1.0]) for i in range(5)] + [("b", 0, 0, [70000.0, 0.0])], "trace_id string, token_idx int, layer int, state array<double>")
+    said = spark.createDataFrame([("a", "abcdef.\nabcdef.\nabcdef.", 5, 6), ("b", "x", 1, 1)], "trace_id string, text string, input_tokens int, output_tokens int")
+    made, pooled = t.assembled(said, states.where("trace_id = 'a'"), half=True)
+    assert [r["state"] for r in pooled.orderBy("idx").collect()] == [[0.5, 1.0], [2.5, 1.0], [4.0, 1.0]]
+    assert {r["trace_id"]: (len(r["steps"]), r["total_tokens"]) for r in made.collect()} == {"a": (3, 11), "b": (1, 2)}
+    with pytest.raises(Exception, match="16-bit"):
+        t.assembled(said, states, half=True)[1].collect()
+    assert t.assembled(said, states, "velocity", min_tokens=1)[0].where("trace_id = 'a'").first()["steps"][-1]["kind"] == "output"
+    placed = t.concatenated(pooled.union(pooled.withColumn("trace_id", F.lit("c")))).orderBy("place").collect()
+    assert [(r["place"], r["trace_id"], r["idx"]) for r in placed] == [(k, "ac"[k // 3], k % 3) for k in range(6)]
+    assert t.layer_states(pooled, [7], 7).count() == 3
+    with pytest.raises(ValueError, match="not captured"):
+        t.layer_states(pooled, [7], 3)
+    ends = spark.createDataFrame([([2, 5, 9],)], "ends array<int>")
+    assert list(ends.select(*(t.offset_rule("ends")(F.lit(n)).alias(str(n)) for n in (0, 2, 4, 5, 8, 9, 20))).first()) == [0, 1, 1, 2, 2, 3, 3]
+
+
+def test_messages(spark):
+    rows = [
+        (0, "system", "Be brief.", None, None), (1, "user", "Add.", None, None),
+        (2, "assistant", "Let me see.", '[{"id": "1", "function": {"name": "add", "arguments": "{\\"a\\": 1}"}}, {"id": "2", "function": {"name": "add", "arguments": "{broken"}}]', None),
+        (3, "tool", "3", None, "1"), (4, "system", "Now.", None, None), (5, "assistant", "", '[{"id": "3", "function": {"name": "end", "arguments": ""}}]', None), (6, "assistant", "Three.", None, None),
+    ]
+    r = t.translated(spark.createDataFrame([("c", *x) for x in rows], "conv_id string, turn int, role string, text string, tool_calls string, tool_call_id string")).first()
+    assert r["system"] == "Be brief.\n\nNow." and [x["role"] for x in r["messages"]] == ["user", "assistant", "user", "assistant", "assistant"]
+    blocks = [[(b["type"], b["text"] or b["name"] or b["content"], b["input"], b["id"]) for b in x["blocks"]] for x in r["messages"]]
+    assert blocks[1] == [("text", "Let me see.", None, None), ("tool_use", "add", '{"a": 1}', "1"), ("tool_use", "add", "{}", "2")]
+    assert blocks[2] == [("tool_result", "3", None, "1")] and blocks[3] == [("tool_use", "end", "{}", "3")] and blocks[4] == [("text", "Three.", None, None)]
+
+
+def test_connected_parts(spark):
+    points = [("g", i, [float(i + 100 * (i > 4)), 0.0]) for i in range(10)] + [("h", 0, [0.0, 0.0]), ("h", 1, [1.0, 0.0])]
+    got = g.connected_parts(spark.createDataFrame(points, "group string, id int, state array<double>"), 2)
+    assert {r["group"]: r["connected_components"] for r in got.collect()} == {"g": 2, "h": 1}
