@@ -17,9 +17,38 @@ from pyspark.sql import types as T
 from lumenfold.session import cut
 
 Transform = Callable[..., DataFrame]
+#: Scorers, validators and transforms by the path that callers write, module:function.
+HOOKS: dict[str, Transform] = {}
 CONDITIONS = ("equals", "greater_than", "less_than", "contains")
 
 
+def checked_path(name: str) -> str:
+    if ":" not in name:
+        raise ValueError(f"{name!r} is not of the form module:function")
+    return name
+
+
+def hook(name: str):
+    """Register a scorer, validator or transform under a path."""
+
+    def keep(fn: Transform) -> Transform:
+        HOOKS[checked_path(name)] = fn
+        return fn
+
+    return keep
+
+
+def resolved(fn: Transform | str | None, what: str) -> Transform:
+    """The function itself, or the registered one of that path; nothing is imported by name."""
+    if not fn:
+        raise ValueError(f"{what} is required")
+    if callable(fn):
+        return fn
+    if checked_path(fn) not in HOOKS:
+        raise ValueError(f"no function {fn!r}; registered: {sorted(HOOKS)}")
+    return HOOKS[fn]
+
+
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN as null."""
     kind = df.schema[name].dataType
@@ -104,11 +133,15 @@ def above(df: DataFrame, threshold: float = 0.0, column: str = "score") -> DataF
     return df.where(F.col(column) >= threshold).where(_numbers(df, column))
 
 
-def score_and_rank(df: DataFrame, scorer: Transform | None, threshold: float = 0.0, max_results: int | None = None, tiebreak: Sequence[str] = (), **params) -> DataFrame:
-    if scorer is None:
-        raise ValueError("scoring_function is required")
-    scored = df.transform(scorer, **params)
+def score_and_rank(df: DataFrame, scorer: Transform | str | None, threshold: float = 0.0, max_results: int | None = None, tiebreak: Sequence[str] = (), embeddings: DataFrame | None = None, on: str | None = None, **params) -> DataFrame:
+    """Rows with a score from the threshold on, best first. embeddings, if given, are joined to the rows by the column `on` before
+    the scorer sees them, and their columns leave again with it."""
+    score = resolved(scorer, "scoring_function")
+    given = df if embeddings is None else _joined(df, embeddings, [on], "left")
+    scored = given.transform(score, **params)
     _need(scored, "score")
+    if embeddings is not None:
+        scored = scored.drop(*(c for c in embeddings.columns if c != on and c not in df.columns))
     return rank_by(above(scored, threshold), "score", top=max_results, tiebreak=tiebreak)
 
 
@@ -122,23 +155,19 @@ def simulated_scores(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return df.withColumn("score", unit_interval(F.lit(str(seed)), F.col(key).cast("string"))).withColumn("score_simulated", F.lit(True))
 
 
-def transform(df: DataFrame, fn: Transform | None, **params) -> DataFrame:
-    if fn is None:
-        raise ValueError("transform_function is required")
-    out = df.transform(fn, **params)
+def transform(df: DataFrame, fn: Transform | str | None, what: str = "transform_function", **params) -> DataFrame:
+    out = df.transform(resolved(fn, what), **params)
     if not isinstance(out, DataFrame):
         raise TypeError("a transform returns a DataFrame")
     return out
 
 
-def validate(df: DataFrame, validator: Transform | None, mode: str = "strict", once: bool = False, **params) -> tuple[DataFrame, DataFrame]:
+def validate(df: DataFrame, validator: Transform | str | None, mode: str = "strict", once: bool = False, **params) -> tuple[DataFrame, DataFrame]:
     """-> (passed, flagged). strict: rows with any true *_flag are flagged. Any other mode keeps all rows.
 
     once: the validator's rows are written before they are split, for one that is slow or draws at random.
     """
-    if validator is None:
-        raise ValueError("filter_function is required")
-    checked = transform(df, validator, **params)
+    checked = transform(df, validator, "filter_function", **params)
     flags = [c for c in checked.columns if c.endswith("_flag")]
     if not flags:
         raise ValueError("the validator gave no flag column")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,8 +43,12 @@ def csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> Dat
     return spark.read.schema(schema).option("header", header).csv(path)
 
 
+async def _awaited(value):
+    return await value
+
+
 def load_source(spark: SparkSession, source: dict) -> DataFrame:
-    """{"loader": "module:function", "params": {...}} -> its frame; only registered loaders are called."""
+    """{"loader": "module:function", "params": {...}} -> its frame; only registered loaders, async ones too, are called."""
     name = source.get("loader") or source.get("function")
     if not name:
         raise ValueError("a source names its loader")
@@ -51,6 +57,8 @@ def load_source(spark: SparkSession, source: dict) -> DataFrame:
     if name not in LOADERS:
         raise ValueError(f"no loader {name!r}; registered: {sorted(LOADERS)}")
     out = LOADERS[name](spark, **source.get("params", {}))
+    if inspect.isawaitable(out):
+        out = asyncio.run(_awaited(out))
     if not isinstance(out, DataFrame):
         raise TypeError(f"{name} returned {type(out).__name__}, not a DataFrame")
     return out

@@ -29,7 +29,7 @@ def _yaml(text: str):
 
 def config_files(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     """(path below the folder, text) of its YAML files: those of the folder itself by name, then those of each group's."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.yaml").text(folder)
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.yaml").text(folder, wholetext=True)
     rows = read.select(F.col("_metadata.file_path").alias("path"), "value").collect()
     name = folder.rstrip("/").rpartition("/")[2]
     below = [(r["path"].rpartition(f"/{name}/")[2], r["value"]) for r in rows]
@@ -38,6 +38,11 @@ def config_files(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     return [(p, t) for _, p, t in sorted(known)]
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the settings in a folder, sorted."""
+    return sorted(PurePosixPath(p).stem for p, _ in config_files(spark, folder))
+
+
 def scan_metrics(files: Iterable[tuple[str, str]], source: str = "core") -> dict[str, dict]:
     """Entries by name: class, group, defaults, partial, source, source_file.
 
@@ -109,7 +114,7 @@ class Catalogue:
     @classmethod
     def read(cls, spark: SparkSession, cache: str) -> Catalogue | None:
         try:
-            kept = json.loads(spark.read.option("wholetext", True).text(cache).first()["value"])
+            kept = json.loads(spark.read.text(cache, wholetext=True).first()["value"])
             return cls(kept["metrics"], kept["algorithms"], kept["version"])
         except Exception:  # noqa: BLE001 - a cache that can't be read is made anew
             return None

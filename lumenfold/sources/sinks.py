@@ -76,7 +76,7 @@ def read_responses(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """path, raw_response, valid: each file below a path as one response; an empty one, or one of blanks, isn't valid."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw_response"), valid_text(F.col("value")).alias("valid"))
 
 

@@ -109,6 +109,27 @@ def test_loop(spark):
     assert rows.count() == len(said.messages) and rows.where("role = 'tool'").count() == 4 and "add" in rows.where("turn = 2").first()["tool_calls"]
 
 
+def test_paths(spark):
+    """Functions by path, async loaders, and scores from embeddings that are joined by key."""
+
+    @loaders.loader("own:later")
+    async def later(spark, n):
+        return spark.range(n)
+
+    assert loaders.load_source(spark, {"loader": "own:later", "params": {"n": 4}}).count() == 4
+    t.hook("own:dot")(lambda df, by=1.0: df.withColumn("score", F.col("vector")[0] * by))
+    rows, vectors = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, s string"), spark.createDataFrame([(3, [5.0]), (1, [2.0])], "id int, vector array<double>")
+    got = t.score_and_rank(rows, "own:dot", 1.0, embeddings=vectors, on="id", by=2.0)
+    assert got.columns == ["id", "s", "score"] and [(r["id"], r["score"]) for r in got.collect()] == [(3, 10.0), (1, 4.0)]
+    for bad in ("own", "own:none", "", None):
+        with pytest.raises(ValueError):
+            t.score_and_rank(rows, bad)
+    t.hook("own:flags")(lambda df: df.withColumn("x_flag", F.col("id") > 1))
+    assert t.validate(rows, "own:flags")[0].count() == 1 and t.transform(rows, "own:flags").columns[-1] == "x_flag"
+    with pytest.raises(ValueError, match="filter_function"):
+        t.validate(rows, "")
+
+
 def test_mock(spark):
     rows = spark.createDataFrame([(i, "x" * i) for i in range(200)], "prompt_id int, text string")
     got = loaders.mock_results(rows, fail_rate=0.25).collect()
@@ -154,6 +175,7 @@ def test_catalogue(spark, tmp_path):
         (tmp_path / name).write_text(text)
     c = registry.Catalogue.scan(spark, str(tmp_path), [("ext", str(tmp_path / "ext"))], "1", str(tmp_path / "cache"))
     assert c.info("lid")["class"] == "x.Lid" and c.info("lid")["defaults"] == {"k": 10} and c.info("plain")["group"] == "embedding" and c.info("graph")["group"] == "module"
+    assert registry.listed(spark, str(tmp_path / "ext")) == ["spread"]
     assert set(c.metrics) == {"lid", "spread", "graph", "plain"} and c.info("spread")["source"] == "ext" and c.names("module") == ["graph"] and c.counts() == {"group": {"embedding": 3, "dataset": 0, "module": 1}, "source": {"core": 3, "ext": 1}}
     assert c.algorithms == {"PCA": {"class": "x.PCA", "defaults": {"n": 2}, "source": "core", "source_file": "pca.yaml"}} and c.frame(spark).count() == 4
     with pytest.raises(KeyError):
@@ -177,7 +199,7 @@ def test_sinks(spark, tmp_path):
     rows = [("a", "p", 0, True, ["umap"], False, "Use UMAP.\nNow."), ("b", "p", 0, False, None, None, None)]
     results = spark.createDataFrame(rows, "system string, prompt_id string, pos int, success boolean, extracted_methods array<string>, mentions_clustering boolean, raw_response string")
     m = sinks.save_results(results, prompts, str(tmp_path / "r"), "Name", "e7", "now")
-    page = spark.read.option("wholetext", True).text(str(tmp_path / "r/summary")).first()["value"]
+    page = spark.read.text(str(tmp_path / "r/summary"), wholetext=True).first()["value"]
     assert page.startswith("# Name\n\n**Experiment ID:** e7\n**Timestamp:** now\n\n## Results\n\n| System") and "| a | n/a | 100.0% | 0.0% |" in page and "## Interpretation" in page
     assert sinks.read_results(spark, str(tmp_path / "r"), results.schema).count() == 2 and "a:\n  Jaccard Similarity: n/a" in sinks.printed(m).where("system = 'a'").first()["text"]
     place = sinks.save_artifact(results, str(tmp_path), "e7")
