@@ -2,11 +2,16 @@
 
 Each document is cut every `size` ids. Full pieces are sequences by themselves; the remainders of a group of
 documents are sorted by length and each goes into the first open sequence with room for it, which a tournament tree
-(each node: the most room below it) finds in logarithmic time. Groups are dealt at random and packed independently,
-so a group's size is bounded and padding per group is about the square root of its rows.
+(each node: the most room below it) finds in logarithmic time. Groups are packed independently, so a group's size is
+bounded and padding per group is about the square root of its rows.
+
+Groups are random: rows are dealt round robin, in an order of hashes, and within a task come in the order of a seeded
+hash, a group being the next rows of that order. Both orders depend on the rows alone, so a task that runs again after
+a lost executor packs the same rows into the same sequences.
 
 Nulls: a null text is empty, so its piece is the end id alone. Rows are packed one by one: equal rows and equal or
-null doc_ids are packed like any others. An empty table has no sequences.
+null doc_ids are packed like any others. A text of any length is cut, whole, into pieces. An empty table has no
+sequences. Columns other than doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.op4_token_files import END_ID, tokenizer_path
+from lumenfold.llm.op4_token_files import END_ID, spread, tokenizer_path
 from lumenfold.session import read_table, ship
 
 SIZE = 1024
 #: Ids in a group at most, beyond its last document.
 GROUP_IDS = 4_000_000
+SEED = 11
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -119,16 +125,16 @@ def _packer(path: str | None, size: int, group_ids: int, end_id: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, size: int = SIZE, path: str | None = None, group_ids: int = GROUP_IDS, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SIZE, path: str | None = None, group_ids: int = GROUP_IDS, end_id: int = END_ID, parts: int | None = None, seed: int = SEED) -> DataFrame:
     """documents (doc_id, text; other columns are left out) -> a row a piece, with its ids and place.
 
     sequence_id is unique over all; the pieces of a sequence lie at gapless offsets from 0.
     """
     spark = docs.sparkSession
     ship(spark)
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select("doc_id", "text")
     # Round robin, not by a key: rows of one doc_id are dealt out as evenly as any others.
-    dealt = docs.select("doc_id", "text").repartition(n)
+    dealt = own.repartition(spread(own, parts)).sortWithinPartitions(F.xxhash64(F.lit(seed), "doc_id", "text"), "doc_id", "text")
     return dealt.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text").mapInArrow(_packer(path, size, group_ids, end_id), PIECES)
 
 

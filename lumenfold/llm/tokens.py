@@ -2,18 +2,21 @@
 
 Ids are those of the given tokenizer file. A blank between two characters that aren't white space is always the
 start of a token, so a text falls into pieces there; the ids of a piece are kept in a table of bounded size, and
-the tokenizer's own BPE model encodes those that aren't in it.
+the tokenizer's own BPE model encodes those that aren't in it. A text in which the string of an added token stands is
+left to the tokenizer as a whole, which gives that string the token's id.
 """
 
 from __future__ import annotations
 
 import struct
-from functools import lru_cache
 
 import regex
 from tokenizers import Tokenizer
 
-PIECES = 550_000
+from lumenfold.llm.held import held
+
+#: Entries of an encoder's table of pieces at most, some 0.3 kB each; the one of words inside pieces has a fifth.
+PIECES = 300_000
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: The byte-level pre-tokenizer's pattern and the bytes that its alphabet keeps as they are.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,32 +36,36 @@ def _alphabet() -> dict[int, int]:
 
 
 class TextEncoder:
-    """ids of a text as bytes; special tokens' strings in a text are ordinary text."""
+    """ids of a text as bytes, equal to those of the tokenizer without the special tokens that it would add."""
 
     def __init__(self, path: str, pieces: int = PIECES):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.has_added = regex.compile("|".join(map(regex.escape, added))).search if added else lambda text: None
         self.model = self.whole.model
         self.tokenize = self.model.tokenize
         self.find = regex.compile(PATTERN).findall
         self.alphabet = _alphabet()
         self.pieces: dict[str, bytes | None] = {}
-        self.words: dict[str, bytes] = {}  # letters alone: after a blank; else as they are
-        self.limit = pieces
+        self.words: dict[str, bytes] = {}  # what the pattern finds inside other pieces
+        self.limit, self.most_words = pieces, max(1, pieces // 5)
+        self.signs = {sign: self._coded(sign) for sign in ",."}
 
     def _by_library(self, text: str) -> bytes:
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        key = word if word[0] == " " else "\x00" + word
-        found = self.words.get(key)
+        found = self.words.get(word)
         if found is None:
-            if len(self.words) >= self.limit:
+            if len(self.words) >= self.most_words:
                 self.words.clear()
-            found = self.words[key] = self._coded(word.encode().decode("latin-1").translate(self.alphabet))
+            found = self.words[word] = self._coded(self._mapped(word))
         return found
 
+    def _mapped(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.alphabet)
+
     def _coded(self, mapped: str) -> bytes:
         ids = [t.id for t in self.tokenize(mapped)]
         return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
@@ -70,52 +77,48 @@ class TextEncoder:
             return self._by_library(text)
         return b"".join(map(self._word, self.find(text)))
 
-    def _piece(self, piece: str) -> bytes | None:
-        """Of a blank and the piece; None if no boundary is certain there."""
-        if piece.isascii() or not UNSURE(piece):
-            if piece.isalpha():
-                return self._word(" " + piece)
-            if piece[-1:] in (",", ".") and piece[:-1].isalpha():
-                return self._word(" " + piece[:-1]) + self._word(piece[-1])
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            return None
-        return self._plain(" " + piece)
+    def _learn(self, pieces: set[str]) -> None:
+        """Put the ids of a blank and each piece in the table; None where no boundary is certain."""
+        known, coded, signs = self.pieces, self._coded, self.signs
+        for p in pieces:
+            # A word, or one with a comma or full stop, which is most of them.
+            word = p if p.isalpha() else p[:-1]
+            if word.isalpha() and (word is p or p[-1] in signs) and (p.isascii() or not UNSURE(p)):
+                if (ids := known.get(word)) is None:
+                    ids = known[word] = coded("Ġ" + (word if word.isascii() else self._mapped(word)))
+                if word is not p:
+                    known[p] = ids + signs[p[-1]]
+            elif not p or p[0].isspace() or p[-1].isspace():
+                known[p] = None
+            else:
+                known[p] = self._plain(" " + p)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.has_added(text):
+            return self._by_library(text)
         first, *rest = text.split(" ")
-        if not rest:
-            return self._plain(text)
-        if first[-1:].isspace():
+        if not rest or first[-1:].isspace():
             return self._plain(text)
         known = self.pieces
         try:
-            body = b"".join(map(known.__getitem__, rest))
+            return self._plain(first) + b"".join(map(known.__getitem__, rest))
         except KeyError:
-            new = {p for p in rest if p not in known}
-            if len(known) + len(new) > self.limit:
+            pieces = set(rest)
+            new = {p for p in pieces if p not in known}
+            if len(known) + 2 * len(new) > self.limit:
                 known.clear()
-                new = set(rest)  # a text of more pieces than the limit still fits by itself
-            words, coded = self.words, self._coded
-            if len(words) + len(new) > self.limit:
-                words.clear()
-            for p in new:
-                # A word, or one with a comma or full stop, which is most of them.
-                word = p if p.isalpha() else p[:-1]
-                if word.isalpha() and p.isascii() and (word is p or p[-1] in ",."):
-                    if (ids := words.get(word)) is None:
-                        ids = words[word] = coded("Ġ" + word)
-                    known[p] = ids if word is p else ids + self._word(p[-1])
-                else:
-                    known[p] = self._piece(p)
-            return self.encode(text)
+                new = pieces  # a text of more pieces than the limit still fits by itself
+            self._learn(new)
+        except TypeError:
+            return self._plain(text)
+        try:
+            return self._plain(first) + b"".join(map(known.__getitem__, rest))
         except TypeError:
             return self._plain(text)
-        return self._plain(first) + body
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
-    """One a worker process and tokenizer."""
-    return TextEncoder(path)
+    """One a worker process, of the tokenizer used last."""
+    return held(("encoder", path), lambda: TextEncoder(path))
