@@ -4,13 +4,18 @@ The kernel counts common subsequences of three letters, each occurrence weighted
 (SPAN at most), normalised; gaps and inserted characters lower it but don't break it. Units are a sentence's words
 with signs taken out, digits and signs inside read as the letters they stand for, and runs of single letters joined.
 
-Training takes a bounded sample of labelled documents. Words far more frequent in the toxic sentences than in others
-are the positive units, frequent ones of the others the negatives; landmarks are drawn from both; a squared-hinge
-machine is trained on the Nystroem features, and again with the negatives that it took for insults. Machine and
-landmarks then fold into one table of weights by subsequence, so that scoring a word is a few look-ups, equal to the
-sum over landmarks. A document's score is a calibrated function of its two highest units and its length.
-
-A null or empty text has no units and still gets a score, that of no evidence. Nulls in labels leave a row out of
+Training takes a bounded sample of labelled documents, apart into sentences. A document's label holds for its sentences
+together: all sentences of one that isn't toxic are negative, and of a toxic one some sentence is positive, which one
+is to be learnt. So it goes in rounds. In each, a clean sentence stands for its unit of the highest value, as a negative
+example, and the sentences of toxic documents that are positive so far stand for the units that make them so. Landmarks
+are drawn from both; a squared-hinge machine is trained on the Nystroem features of the examples, each weighted by its
+sentences, and its values choose the next round's positive sentences and hardest negative ones, until no clean sentence
+is new among these. In the first round the log-odds of units in toxic documents choose.
+Machine and landmarks fold into one table of weights by subsequence, so that scoring a word is a few look-ups, equal to
+the sum over landmarks. A document's score is a calibrated function of its two highest units and its length.
+
+A null or empty text has no units and still gets a score, that of no evidence. A text of any length is scored whole; a
+word beyond LONGEST letters counts by its best window of that many. Nulls in labels leave a row out of
 training; several labels of a doc_id are averaged. Equal rows are scored alike. Without both labels in the sample
 each document scores the sample's rate (0 if there is none). Other columns are never read.
 """
@@ -18,7 +23,8 @@ each document scores the sample's rate (0 if there is none). Other columns are n
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenfold.llm.held import held
 from lumenfold.llm.labelled import held_out, labelled_sample
 from lumenfold.llm.linear import Calibration, svm
 from lumenfold.session import read_table, ship
@@ -34,6 +41,9 @@ from lumenfold.session import read_table, ship
 #: Labelled documents to train on at most.
 SAMPLE = 5_000
 LANDMARKS = 160
+#: Rounds of training at most, and negative examples of a round: so many of the hardest, and as many others.
+ROUNDS = 4
+EXAMPLES = 3_000
 DECAY = 0.7
 SPAN = 6
 LETTERS = 64
@@ -43,6 +53,8 @@ CHUNK = 4_000
 #: Letters that digits and signs stand for inside a word.
 STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 STRIPPED = "\"'`.,;:!?()[]{}<>*#$%&|-_=+/\\~^@…“”‘’«»¡¿"
+#: What ends a sentence.
+ENDS = re.compile(r"[.!?\u2026]+(?=\s)|\n+")
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -171,9 +183,37 @@ class Scorer:
         return out
 
 
-def document_words(text: str | None) -> set[str]:
-    tokens = (text or "").lower().split()
-    return {u for u in map(unit, set(tokens)) if 2 <= len(u) <= LONGEST} | {j for j in joined(tokens) if len(j) <= LONGEST}
+class Sentences:
+    """Units of all sentences of all texts, as numbers in one array, with each sentence's begin and its text."""
+
+    def __init__(self, texts: list[str]):
+        known: dict[str, int] = {}
+        flat, begins, owner = array("i"), array("i"), array("i")
+        for k, text in enumerate(texts):
+            for sentence in ENDS.split((text or "").lower()):
+                tokens = sentence.split()
+                units = {u for u in map(unit, set(tokens)) if 2 <= len(u) <= LONGEST} | {j for j in joined(tokens) if len(j) <= LONGEST}
+                if units:
+                    begins.append(len(flat))
+                    owner.append(k)
+                    flat.extend([known.setdefault(u, len(known)) for u in sorted(units)])
+        self.units = list(known)
+        self.flat, self.begins, self.owner = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (flat, begins, owner))
+        self.lengths = np.diff(np.r_[self.begins, len(self.flat)])
+
+    def documents_with(self, chosen: np.ndarray) -> np.ndarray:
+        """In how many of the chosen texts each unit is."""
+        owner = np.repeat(self.owner, self.lengths)
+        mine = chosen[owner]
+        pairs = np.unique(owner[mine].astype(np.int64) * len(self.units) + self.flat[mine])
+        return np.bincount(pairs % max(1, len(self.units)), minlength=len(self.units))
+
+    def best(self, value: np.ndarray) -> np.ndarray:
+        """Each sentence's unit of the highest value."""
+        most = np.repeat(np.maximum.reduceat(value[self.flat], self.begins), self.lengths)
+        at = np.flatnonzero(value[self.flat] == most)
+        which = np.repeat(np.arange(len(self.begins)), self.lengths)[at]
+        return self.flat[at[np.unique(which, return_index=True)[1]]]
 
 
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS):
@@ -181,71 +221,90 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS):
     if len(texts) == 0 or toxic.all() or not toxic.any():
         return float(toxic.mean()) if len(texts) else 0.0
     rng = np.random.default_rng(5)
-    bad, good = Counter(), Counter()
-    for text, y in dict(zip(texts, toxic, strict=True)).items():
-        (bad if y else good).update(document_words(text))
-    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    said = Sentences(texts)
+    if not len(said.begins):
+        return float(toxic.mean())
+    bad, good = said.documents_with(toxic), said.documents_with(~toxic)
+    n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
     least = 3 if n_bad > 100 else 2
-    odds = {w: math.log((k + 0.5) / n_bad) - math.log((good[w] + 0.5) / n_good) for w, k in bad.items() if k >= least and k / n_bad > 8 * good[w] / n_good}
-    ranked = sorted(odds, key=lambda w: (-bad[w] * odds[w], w))
-    positives = [w for w in ranked if bad[w] * odds[w] >= 0.05 * bad[ranked[0]] * odds[ranked[0]]] if ranked else []
-    if not positives:
+    odds = np.log((bad + 0.5) / n_bad) - np.log((good + 0.5) / n_good)
+    # Units that toxic documents have so much more often may make a sentence positive, however rare they are.
+    telling = bad / n_bad > 8 * good / n_good
+    weight = np.where(telling & (bad >= least), bad * odds, 0)
+    # The likelihood ratio against chance must outweigh the number of units tried; a small sample may have none such.
+    rate = (bad + good) / len(texts)
+    ratio = bad * np.log(np.maximum(bad / n_bad, 1e-9) / rate) + good * np.log(np.maximum(good / n_good, 1e-9) / rate)
+    beyond = (weight >= 0.05 * weight.max()) & (weight > 0) & (ratio >= math.log(10 * len(odds)))
+    sure = np.flatnonzero(beyond if beyond.any() else (weight > 0) & (weight >= 0.05 * weight.max()))
+    if not len(sure) or not (good > 0).any():
         return float(toxic.mean())
-    common = sorted(good, key=lambda w: (-good[w], w))
-    rare = [w for w in common[2000:] if len(w) >= 4]
-    negatives = common[:2000] + [rare[i] for i in rng.permutation(len(rare))[:4000]]
-    half = landmarks // 2
-    for _ in range(3):
-        chosen = positives[:half]
-        chosen = chosen + [w for w in dict.fromkeys([*negatives[-half // 2 :], *(negatives[i] for i in rng.permutation(len(negatives)))]) if w not in odds][: landmarks - len(chosen)]
-        inner = kernel(chosen, chosen) + 1e-6 * np.eye(len(chosen))
-        value, vector = np.linalg.eigh(inner)
-        value = np.maximum(value, 1e-8)
-        half_inverse = (vector / np.sqrt(value)) @ vector.T
-        units = positives + negatives
+    value = np.full(len(odds), -1.0)
+    value[sure] = odds[sure]
+    of_toxic = toxic[said.owner]
+    n_clean = np.zeros(len(odds), np.int64)
+    table, positives, negatives = None, sure, np.zeros(0, np.int64)
+    for number in range(ROUNDS):
+        best = said.best(value)
+        clean, times = np.unique(best[~of_toxic], return_counts=True)
+        n_clean[clean] = np.maximum(n_clean[clean], times)
+        if table is not None:
+            # Sentences of toxic documents that are positive by now: by units that are written like a sure one.
+            found = np.flatnonzero(telling & (value > 0.5))
+            like = kernel([said.units[u] for u in found], [said.units[u] for u in sure]).max(axis=1) if len(found) else np.zeros(0)
+            positives = np.union1d(sure, found[like > 0.7])
+        clean = np.setdiff1d(clean, positives)
+        wrong = clean[value[clean] > 0.35]
+        if table is not None and not len(np.setdiff1d(wrong, negatives)):
+            break
+        # The hardest examples, and at first a draw from all, so that the matrix is of a bounded size.
+        hard = wrong[np.argsort(-value[wrong], kind="stable")[:EXAMPLES]]
+        drawn = clean[rng.permutation(len(clean))[: 0 if number else EXAMPLES]]
+        common = clean[np.argsort(-n_clean[clean], kind="stable")[: 0 if number else EXAMPLES]]
+        negatives = np.setdiff1d(np.unique(np.r_[negatives, hard, drawn, common]), positives)
+        if not len(negatives):
+            break
+        n_positive, n_negative = bad[positives], np.maximum(1, n_clean[negatives])
+        by_count = positives[np.argsort(-n_positive, kind="stable")][: landmarks // 2]
+        # Half of the landmarks of negative sentences are the hardest of them, the others any.
+        spread = np.r_[negatives[np.argsort(-value[negatives], kind="stable")[: landmarks // 4]], negatives[rng.permutation(len(negatives))]]
+        points = [said.units[u] for u in dict.fromkeys([*by_count.tolist(), *spread.tolist()])][:landmarks]
+        inner = kernel(points, points) + 1e-6 * np.eye(len(points))
+        scale, vector = np.linalg.eigh(inner)
+        half_inverse = (vector / np.sqrt(np.maximum(scale, 1e-8))) @ vector.T
+        examples = [said.units[u] for u in np.r_[positives, negatives]]
         y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
-        weight = np.r_[np.full(len(positives), 0.5 * len(units) / len(positives)), np.full(len(negatives), 0.5 * len(units) / len(negatives))] / len(units) * 100
-        w, bias = svm(kernel(units, chosen) @ half_inverse, y, weight)
-        by_landmark = half_inverse @ w
-        owner, code, v = vectors(chosen)
-        table = np.bincount(code, v * by_landmark[owner], LETTERS**3)
+        share = np.r_[n_positive / n_positive.sum(), n_negative / n_negative.sum()]
+        # A common example counts by the root of its sentences: one word must not be all that is learnt.
+        share = np.sqrt(share)
+        share = np.r_[share[: len(positives)] / share[: len(positives)].sum(), share[len(positives) :] / share[len(positives) :].sum()]
+        w, bias = svm(kernel(examples, points) @ half_inverse, y, share * 50)
+        owner, code, v = vectors(points)
+        table = np.bincount(code, v * (half_inverse @ w)[owner], LETTERS**3)
         # Values are read against the bias: 1 is a unit on the positive margin, 0.5 on the boundary.
         table = table / max(1e-6, 2 * -bias if bias < 0 else 1.0)
-        scorer = Scorer(table)
-        wrong = [u for u in (*common[:20_000], *rare[:: max(1, len(rare) // 60_000)]) if u not in odds]
-        values = scorer.score(wrong)
-        worst = [wrong[i] for i in np.argsort(-values, kind="stable")[:1500] if values[i] > 0.35]
-        negatives = list(dict.fromkeys([*negatives, *worst]))
-        if not worst:
-            break
-    bad, good, common, rare = None, None, None, None
-    x = Scorer(table).features(texts)
-    return table.astype(np.float32), Calibration(shaped(x), toxic.astype(float))
+        value = Scorer(table).score(said.units)
+    if table is None:
+        return float(toxic.mean())
+    del said
+    return table.astype(np.float32), Calibration(shaped(Scorer(table).features(texts)), toxic.astype(float))
 
 
 def shaped(x: np.ndarray) -> np.ndarray:
     return np.c_[x, np.maximum(0, x[:, 0] - 0.5), np.maximum(0, x[:, 1] - 0.5)]
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _mapper(model, whole: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
-        if not isinstance(fitted, float):
-            key = hash(fitted[0].tobytes())
-            if key not in _scorers:
-                _scorers.clear()
-                _scorers[key] = Scorer(fitted[0])
+        own = None if isinstance(fitted, float) else held(("scorer", hash(fitted[0].tobytes())), lambda: Scorer(fitted[0]))
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts = part.column(2).field("text") if whole else part.column(2)
-                if isinstance(fitted, float):
+                if own is None:
                     p = np.full(part.num_rows, fitted)
                 else:
-                    p = fitted[1](shaped(_scorers[key].features(texts.to_pylist())))
+                    p = fitted[1](shaped(own.features(texts.to_pylist())))
                 columns = [part.column(0), part.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns + [part.column(2)] * whole, ["doc_id", "held_out", "score", "predicted"] + ["row"] * whole)
 
