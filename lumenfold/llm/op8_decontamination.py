@@ -1,14 +1,17 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the test items' windows, one scan of each text.
 
-Normalising lower-cases A-Z and puts one blank for each run of characters that aren't word characters, so a window
-of words with a blank at either end occurs where the same words do. The automaton runs over the normalised bytes;
-a hit's last blank gives the word's number, and that its offsets in the original text.
+Normalising lower-cases A-Z and splits at what aren't word characters. The automaton's symbols are words: each word of
+the items has a number, so a window is a path of at most 13 nodes and a hit's place is the number of a word, which
+gives the offsets in the original text. It scans the runs of such words; other words end them.
 
-The automaton holds items of MOST_BYTES normalised bytes at most. More items than that are scanned for in several
-passes over the documents, one automaton each, and the hits are joined row by row.
+An automaton has NODES nodes at most, however long the items' words are, which bounds a worker's memory (some 0.1 kB a
+node). More items than that are scanned for in several passes over the documents, one automaton each, and the hits are
+joined row by row.
 
 A null or empty text has no words and no hits; a null or empty item has no windows. Items with one item_id count
-once; an item without item_id hits words and isn't listed. Without documents there are no rows, without items no hits.
+once; an item without item_id hits words and isn't listed. A text of any length is scanned whole. Rows are scanned one
+by one, so equal rows don't matter, and other columns' names clash with nothing. Without documents there are no rows,
+without items no hits.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenfold.llm.held import held
 from lumenfold.session import read_table, ship
 
 WINDOW = 13
-MOST_BYTES = 16_000_000
+#: Nodes of an automaton at most; one item alone may have more.
+NODES = 2_500_000
 #: The contract's word characters.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -40,61 +45,52 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
 
 
-_built: dict[int, ahocorasick.Automaton] = {}
-
-
-def automaton(items: list[tuple[int | None, bytes]], window: int) -> ahocorasick.Automaton:
+class Automaton:
     """Of (item_id, normalised text); a pattern's value is its number of words and the items that have it."""
-    have: dict[bytes, set[int | None]] = defaultdict(set)
-    length: dict[bytes, int] = {}
-    for item, text in items:
-        own = text.split()
-        for i in range(max(1, len(own) - window + 1) if own else 0):
-            key = b" %s " % b" ".join(own[i : i + window])
-            have[key].add(item)
-            length[key] = len(own[i : i + window])
-    tree = ahocorasick.Automaton()
-    for key, found in have.items():
-        tree.add_word(key.decode("latin-1"), (length[key], tuple(sorted(found, key=lambda x: (x is None, x)))))
-    tree.make_automaton()
-    return tree
-
-
-def find(tree: ahocorasick.Automaton, own: list[bytes]) -> list[tuple[int | None, int, int]]:
-    """(item, first word, last word) of the runs of words that an item's windows cover."""
-    if not own or not len(tree):
-        return []
-    text = b" %s " % b" ".join(own)
-    found = list(tree.iter(text.decode("latin-1")))
-    if not found:
-        return []
-    blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-    last = np.searchsorted(blanks, [end for end, _ in found]) - 1
-    runs: dict[int | None, list[list[int]]] = defaultdict(list)
-    for b, (_, (n, items)) in sorted(zip(last.tolist(), found, strict=True), key=lambda x: x[0] - x[1][1][0]):
-        for item in items:
-            if runs[item] and b - n + 1 <= runs[item][-1][1] + 1:
-                runs[item][-1][1] = max(runs[item][-1][1], b)
-            else:
-                runs[item].append([b - n + 1, b])
-    return [(item, a, b) for item in runs for a, b in runs[item]]
+
+    def __init__(self, items: list[tuple[int | None, bytes]], window: int):
+        self.numbers: dict[bytes, int] = {}
+        have: dict[tuple[int, ...], set[int | None]] = defaultdict(set)
+        for item, text in items:
+            own = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.split()]
+            for i in range(max(1, len(own) - window + 1) if own else 0):
+                have[tuple(own[i : i + window])].add(item)
+        self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, found in have.items():
+            self.tree.add_word(key, (len(key), tuple(sorted(found, key=lambda x: (x is None, x)))))
+        self.tree.make_automaton()
+        # Runs of the items' words, of the shortest window's length at least: nothing else can have a hit.
+        self.runs = re.compile(b"\x01{%d,}" % min(map(len, have))).finditer if have else None
+
+    def find(self, own: list[bytes]) -> list[tuple[int | None, int, int]]:
+        """(item, first word, last word) of the runs of words that an item's windows cover."""
+        if not own or not self.runs:
+            return []
+        number, found = self.numbers.__getitem__, []
+        for run in self.runs(bytes(map(self.numbers.__contains__, own))):
+            at = run.start()
+            found += [(at + end - n + 1, at + end, items) for end, (n, items) in self.tree.iter(tuple(map(number, own[at : run.end()])))]
+        runs: dict[int | None, list[list[int]]] = defaultdict(list)
+        for first, last, items in sorted(found, key=lambda x: x[0]):
+            for item in items:
+                if runs[item] and first <= runs[item][-1][1] + 1:
+                    runs[item][-1][1] = max(runs[item][-1][1], last)
+                else:
+                    runs[item].append([first, last])
+        return [(item, a, b) for item in runs for a, b in runs[item]]
 
 
 def _scanner(items, window: int, last: bool, whole: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = items.value
-        key = hash((window, tuple(given)))
-        if key not in _built:
-            _built.clear()
-            _built[key] = automaton(given, window)
-        tree = _built[key]
+        tree = held(("automaton", window, hash(tuple(given))), lambda: Automaton(given, window))
         for batch in batches:
             hits, n_words, n_hit, listed, spans = [], [], [], [], []
             earlier = batch.column(2).to_pylist()
             for k, text in enumerate(batch.column(1).field("text") if whole else batch.column(1)):
                 text = text.as_py()
                 own = words(text)
-                found = [(h["item"], h["first"], h["last"]) for h in earlier[k]] + find(tree, own)
+                found = [(h["item"], h["first"], h["last"]) for h in earlier[k]] + tree.find(own)
                 if not last:
                     hits.append([{"item": i, "first": a, "last": b} for i, a, b in found])
                     continue
@@ -117,7 +113,7 @@ def _scanner(items, window: int, last: bool, whole: bool):
     return scan
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES, whole: bool = False) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_nodes: int = NODES, whole: bool = False) -> DataFrame:
     """documents (doc_id, text), items (item_id, text) -> RESULT; spans are offsets in code points, end exclusive.
 
     whole: with the document's columns, in a struct `row` where their names clash with nothing.
@@ -125,8 +121,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-total // most_bytes))
+    # A word begins a window of `window` nodes at most; blanks and signs between words make this an upper bound.
+    total = items.agg(F.sum(F.size(F.split(F.lower("text"), "[^a-z0-9\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
+    passes = max(1, -(-total * window // most_nodes))
     given = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if whole else F.col("text")
     out = docs.select("doc_id", given.alias("given"), F.array().cast(HITS).alias("hits"))
     middle = T.StructType(out.schema.fields)
