@@ -132,9 +132,10 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, every: bool = Fals
     all_lines = lines(docs)
     distinct = all_lines.groupBy("line").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy("key")
-    of_line = even(F.col("id"))
-    shared = keyed(distinct, threshold).select("*", F.min(of_line).over(group).alias("low"), F.max(of_line).over(group).alias("high"), F.max(F.col("id").bitwiseAND(F.lit(1))).over(group).alias("used"))
-    shared = cut(shared.where("low != high and used = 1").select("key", of_line.alias("id"), (F.col("id") != of_line).alias("own")))
+    # Plain columns in the window, so that two numbers a row are exchanged; the lowest bit of id tells own segments.
+    shared = keyed(distinct, threshold).select("*", F.min("id").over(group).alias("low"), F.max("id").over(group).alias("high"), F.bit_or("id").over(group).alias("any"))
+    several, used = even(F.col("low")) != even(F.col("high")), F.col("any").bitwiseAND(F.lit(1)) == 1
+    shared = cut(shared.where(several & used).select("key", even(F.col("id")).alias("id"), (F.col("id").bitwiseAND(F.lit(1)) == 1).alias("own")))
     # The lines behind those keys, with their texts.
     needed = small(shared.select("id").distinct(), 64)
     texts = all_lines.withColumn("id", even(F.xxhash64("line"))).join(needed, "id", "left_semi")
