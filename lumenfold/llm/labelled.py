@@ -14,12 +14,12 @@ def held_out(modulus: int, remainder: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, most: int) -> list[Row]:
     """(doc_id, text, label 0/1) of at most `most` labelled rows of a fold, those whose doc_ids hash lowest.
 
-    Rows with a null doc_id or label are left out; several labels of a doc_id are averaged, ties count as 1.
-    Of several documents with one doc_id, one is taken.
+    Rows with a null doc_id or label are left out; several labels of a doc_id are averaged, ties count as 1. Of several
+    documents with one doc_id the one whose text hashes lowest is taken, before anything is collected.
     """
     known = labels.select("doc_id", F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & fold)
     own = known.groupBy("doc_id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # `most` rows of two numbers.
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")
-    rows = {r["doc_id"]: r for r in found.select("doc_id", "text", (F.col("label") >= 0.5).cast("int").alias("label")).toLocalIterator()}
-    return [rows[k] for k in sorted(rows)]
+    one = found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), (F.max("label") >= 0.5).cast("int").alias("label"))
+    return sorted(one.toLocalIterator(), key=lambda r: r["doc_id"])

@@ -9,7 +9,8 @@ Repeated three-word windows are found by sorting each text's window hashes, so a
 
 A null or empty text has no words, all counts 0, and fails the base rule. Nulls in labels leave a row out; several
 labels of a doc_id are averaged. Without both labels no rule is learnt and the base rule alone decides. Rows are
-judged one by one: equal rows and null doc_ids don't matter, and other columns are left out.
+judged one by one: equal rows and null doc_ids don't matter, and other columns are left out. A very long text is
+counted whole.
 """
 
 from __future__ import annotations
@@ -176,10 +177,11 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("label"))
     own = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # `sample` rows of two numbers, and then of as many numbers as there are features.
-    rows = statistics(docs.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(own), "doc_id").select("doc_id", "label", *FEATURES).collect()
-    rows = sorted({r["doc_id"]: r for r in rows}.items())
-    x = np.array([[r[f] for f in FEATURES] for _, r in rows], float).reshape(-1, len(FEATURES))
-    return learn(x, np.array([r["label"] < 0.5 for _, r in rows], bool))
+    rows = statistics(docs.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(own), "doc_id")
+    # Of several rows of a doc_id the least is taken.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", *FEATURES)).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
+    x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES))
+    return learn(x, np.array([r["label"] < 0.5 for r in rows], bool))
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -6,7 +6,7 @@ and with none; the score is a logistic function of the normalised difference, th
 
 A null or empty text has ratios of 0 and gets the score of such a text. Nulls in labels leave a row out; several
 labels of a doc_id are averaged. Equal rows are scored alike. Without both labels every document scores the sample's
-rate (0 if there is none). Other columns are never read.
+rate (0 if there is none). A text of any length is compressed whole. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.llm.held import release
 from lumenfold.llm.labelled import held_out, labelled_sample
 from lumenfold.llm.linear import Calibration
 from lumenfold.session import read_table, ship
@@ -83,6 +84,7 @@ def train(texts: list[str], good: np.ndarray):
 
 def _mapper(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         fitted = model.value
         sizes = None if isinstance(fitted, float) else Sizes(*fitted[:2])
         for batch in batches:
