@@ -9,6 +9,7 @@ left to the tokenizer as a whole, which gives that string the token's id.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import regex
 from tokenizers import Tokenizer
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 from lumenfold.llm.held import held
 
 #: Entries of an encoder's table of pieces at most, some 0.3 kB each; the one of words inside pieces has a fifth.
-PIECES = 300_000
+PIECES = 380_000
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: The byte-level pre-tokenizer's pattern and the bytes that its alphabet keeps as they are.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,9 +47,9 @@ class TextEncoder:
         self.tokenize = self.model.tokenize
         self.find = regex.compile(PATTERN).findall
         self.alphabet = _alphabet()
-        self.pieces: dict[str, bytes | None] = {}
+        self.pieces = Pieces(self._learnt, pieces)
         self.words: dict[str, bytes] = {}  # what the pattern finds inside other pieces
-        self.limit, self.most_words = pieces, max(1, pieces // 5)
+        self.most_words = max(1, pieces // 5)
         self.signs = {sign: self._coded(sign) for sign in ",."}
 
     def _by_library(self, text: str) -> bytes:
@@ -77,21 +78,23 @@ class TextEncoder:
             return self._by_library(text)
         return b"".join(map(self._word, self.find(text)))
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Put the ids of a blank and each piece in the table; None where no boundary is certain."""
-        known, coded, signs = self.pieces, self._coded, self.signs
-        for p in pieces:
-            # A word, or one with a comma or full stop, which is most of them.
-            word = p if p.isalpha() else p[:-1]
-            if word.isalpha() and (word is p or p[-1] in signs) and (p.isascii() or not UNSURE(p)):
-                if (ids := known.get(word)) is None:
-                    ids = known[word] = coded("Ġ" + (word if word.isascii() else self._mapped(word)))
-                if word is not p:
-                    known[p] = ids + signs[p[-1]]
-            elif not p or p[0].isspace() or p[-1].isspace():
-                known[p] = None
-            else:
-                known[p] = self._plain(" " + p)
+    def _learnt(self, piece: str) -> bytes | None:
+        """Ids of a blank and the piece; None if no boundary is certain there."""
+        known, signs = self.pieces, self.signs
+        # A word, or one with a comma or full stop, which is most of them.
+        word = piece if piece.isalpha() else piece[:-1]
+        if word.isalpha() and (word is piece or piece[-1] in signs) and (piece.isascii() or not UNSURE(piece)):
+            if word is not piece and word in known:
+                return known[word] + signs[piece[-1]]
+            ids = [t.id for t in self.tokenize("Ġ" + (word if word.isascii() else self._mapped(word)))]
+            packed = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+            if word is piece:
+                return packed
+            known[word] = packed
+            return packed + signs[piece[-1]]
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        return self._plain(" " + piece)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -101,24 +104,25 @@ class TextEncoder:
         first, *rest = text.split(" ")
         if not rest or first[-1:].isspace():
             return self._plain(text)
-        known = self.pieces
         try:
-            return self._plain(first) + b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            pieces = set(rest)
-            new = {p for p in pieces if p not in known}
-            if len(known) + 2 * len(new) > self.limit:
-                known.clear()
-                new = pieces  # a text of more pieces than the limit still fits by itself
-            self._learn(new)
-        except TypeError:
-            return self._plain(text)
-        try:
-            return self._plain(first) + b"".join(map(known.__getitem__, rest))
+            return self._plain(first) + b"".join(map(self.pieces.__getitem__, rest))
         except TypeError:
             return self._plain(text)
 
 
+class Pieces(dict):
+    """A table that learns what it is asked for, and begins anew when it is full."""
+
+    def __init__(self, learn: Callable[[str], bytes | None], limit: int):
+        self.learn, self.limit = learn, limit
+
+    def __missing__(self, piece: str) -> bytes | None:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[piece] = self.learn(piece)
+        return found
+
+
 def encoder(path: str) -> TextEncoder:
     """One a worker process, of the tokenizer used last."""
     return held(("encoder", path), lambda: TextEncoder(path))
