@@ -34,6 +34,9 @@ THRESHOLD = 2
 MIN_CHARS = 24
 #: A table is broadcast up to this size, counted before; beyond it joins are by key.
 BROADCAST_BYTES = 24_000_000
+#: One text of so many is looked at for hot keys; a hot key has so many lines there and is among the 1 / HOT_SHARE most
+#: frequent; its rows are dealt to SALTS groups.
+SAMPLED, HOT_LEAST, HOT_SHARE, SALTS = 500, 50, 1e-4, 64
 CLASSES = ("aeo", "iu", "nst", "rlh", "dcm", "bpfgvw", "0123456789", " .,;:")
 
 
@@ -127,15 +130,30 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def hot_keys(docs: DataFrame, threshold: int) -> DataFrame:
+    """hot_key: keys that a share of a sample's lines have, HOT_SHARE at least; so there are few, whatever the input.
+
+    The sample decides only which keys are dealt out over tasks. What comes out of them is the same.
+    """
+    sample = lines(docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)).select("line").distinct()
+    counted = keyed(sample, threshold).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_LEAST)
+    # The most frequent first, as many as can each have that share.
+    return cut(counted.orderBy(F.desc("n"), "key").limit(int(1 / HOT_SHARE)).select(F.col("key").alias("hot_key")))
+
+
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, every: bool = False) -> DataFrame:
     """id, id2, first (place) and near (whether a similar line comes first) of the distinct lines that repeat or are near."""
     all_lines = lines(docs)
     distinct = all_lines.groupBy("line").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy("key")
+    coded = keyed(distinct, threshold)
+    # A key with a large share of the lines is dealt out; it has several lines, so it needs no look at the others.
+    hot = F.broadcast(hot_keys(docs, threshold))
+    coded = coded.join(hot, coded["key"] == hot["hot_key"], "left").select("key", "id", F.when(F.col("hot_key").isNotNull(), F.pmod(F.shiftright("id", 1), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int").alias("salt"))
+    group = Window.partitionBy("key", "salt")
     # Plain columns in the window, so that two numbers a row are exchanged; the lowest bit of id tells own segments.
-    shared = keyed(distinct, threshold).select("*", F.min("id").over(group).alias("low"), F.max("id").over(group).alias("high"), F.bit_or("id").over(group).alias("any"))
+    shared = coded.select("*", F.min("id").over(group).alias("low"), F.max("id").over(group).alias("high"), F.bit_or("id").over(group).alias("any"))
     several, used = even(F.col("low")) != even(F.col("high")), F.col("any").bitwiseAND(F.lit(1)) == 1
-    shared = cut(shared.where(several & used).select("key", even(F.col("id")).alias("id"), (F.col("id").bitwiseAND(F.lit(1)) == 1).alias("own")))
+    shared = cut(shared.where((F.col("salt") > 0) | (several & used)).select("key", even(F.col("id")).alias("id"), (F.col("id").bitwiseAND(F.lit(1)) == 1).alias("own")))
     # The lines behind those keys, with their texts.
     needed = small(shared.select("id").distinct(), 64)
     texts = all_lines.withColumn("id", even(F.xxhash64("line"))).join(needed, "id", "left_semi")
@@ -180,4 +198,16 @@ def remove_repeated(docs: DataFrame, threshold: int = THRESHOLD, names: tuple[st
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_repeated(read_table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
-    return cleaned.select("doc_id", "n_lines", F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    return cleaned.select("doc_id", "n_lines", F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+#: The letters beyond ASCII of the documents, and as many signs that don't occur there: DuckDB's distance counts bytes.
+_LETTERS, _SIGNS = "éóèñüçöäêßíÉÈÑÓÇÊÜÖÄÍ", "".join(map(chr, [*range(1, 9), *range(14, 27)]))
+#: The query's rows in DuckDB's SQL: all lines, and all pairs of long ones by their edit distance.
+SQL = f"""WITH l AS (SELECT doc_id, doc_id::HUGEINT * 4294967296 + k - 1 AS place, k - 1 AS pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT line, min(place) AS first, length(line) AS n, translate(line, '{_LETTERS}', '{_SIGNS}') AS plain FROM l WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY line),
+long AS (SELECT * FROM f WHERE n >= {MIN_CHARS}),
+near AS (SELECT DISTINCT a.line FROM long a JOIN long b ON b.n BETWEEN a.n - {THRESHOLD} AND a.n + {THRESHOLD} WHERE b.first < a.first AND levenshtein(a.plain, b.plain) <= {THRESHOLD}),
+seen AS (SELECT l.*, near.line IS NOT NULL AS is_near, near.line IS NULL AND f.line IS NOT NULL AND place > f.first AS is_exact FROM l LEFT JOIN f USING (line) LEFT JOIN near USING (line)),
+texts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (is_exact) AS n_exact, count(*) FILTER (is_near) AS n_near, coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (is_near), '') AS near, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_near AND NOT is_exact), '') AS text FROM seen GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_exact, 0)::BIGINT AS n_exact, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(t.near, '') AS near, md5(coalesce(t.text, '')) AS text_md5 FROM documents d LEFT JOIN texts t USING (doc_id)"""

@@ -141,5 +141,19 @@ def verdict(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: The query's rows in DuckDB's SQL: all windows of all texts, as strings, joined with the items'.
+SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+given AS (SELECT item_id, least({WINDOW}, len(ws)) AS n, unnest(range(1, greatest(1, len(ws) - {WINDOW - 1}) + 1)) AS i, ws FROM b WHERE len(ws) > 0),
+wanted AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS key FROM given),
+sizes AS (SELECT DISTINCT n FROM wanted),
+places AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM d, sizes WHERE len(ws) >= n),
+found AS (SELECT doc_id, i, p.n, item_id FROM places p JOIN wanted w ON p.n = w.n AND array_to_string(ws[i:i + p.n - 1], ' ') = w.key),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY 1),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict(find_benchmark(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))

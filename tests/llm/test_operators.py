@@ -149,8 +149,11 @@ def test_line_dedup(spark):
     assert op3_line_dedup.remove_repeated(df.limit(0)).count() == 0
 
 
-def test_crowded_line(spark):
-    """400 variants of one line, 1 to 4 edits from it, under the same keys."""
+@pytest.mark.parametrize("sampled", [500, 1])
+def test_crowded_line(spark, sampled, monkeypatch):
+    """400 variants of one line, 1 to 4 edits from it, under the same keys; with all texts looked at, keys are hot."""
+    monkeypatch.setattr(op3_line_dedup, "SAMPLED", sampled)
+    monkeypatch.setattr(op3_line_dedup, "HOT_LEAST", 5)
     rnd = random.Random(8)
     base = "a notice that stands below nearly every page of this site"
     texts = []
@@ -166,6 +169,8 @@ def test_crowded_line(spark):
         first.setdefault(line, i)
     near = {a for a in first if any(first[b] < first[a] and abs(len(a) - len(b)) <= 2 and edits(a, b, 2) for b in first)}
     assert 100 < len(near) < len(first)
+    hot = op3_line_dedup.hot_keys(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).count()
+    assert hot > 0 if sampled == 1 else hot == 0
     for i, line in enumerate(texts):
         assert (got[i]["near"] == [0], got[i]["exact"] == [0]) == (line in near, line not in near and first[line] < i)
 
@@ -186,7 +191,7 @@ def test_short_lines(spark, tmp_path):
         gone = {p for p, x in enumerate(own) if x.strip() and place(d, p) > first[x]}
         near = {p for p, x in enumerate(own) if x == long + "!"}
         left = "\n".join(x for p, x in enumerate(own) if p not in gone | near)
-        assert (got[d]["n_exact"], got[d]["n_near"], got[d]["text_crc32"]) == (len(gone), len(near), zlib.crc32(left.encode())), d
+        assert (got[d]["n_exact"], got[d]["n_near"], got[d]["text_md5"]) == (len(gone), len(near), hashlib.md5(left.encode()).hexdigest()), d
         assert staged[d] == (None if t is None else left)
     assert [got[d]["n_exact"] for d in (None, 0, 1, 2)] == [0, 1, 2, 2]
 
