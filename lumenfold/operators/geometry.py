@@ -171,9 +171,15 @@ def preserved(before: DataFrame, after: DataFrame, k: int, group: str = "group")
     sizes = before.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
 
     def score(full: DataFrame, own: DataFrame, name: str) -> DataFrame:
-        ranks = neighbours(full, 1 << 30, group).select(group, "id", "other", F.col("rank").alias("r"))
-        off = neighbours(own, k, group).join(ranks, [group, "id", "other"]).where(F.col("r") > k)
-        lost = off.groupBy(group).agg(F.sum(F.col("r") - k).alias("lost"))
+        # Neighbours in one space that are none in the other, with their distance there: k a point at most.
+        off = neighbours(own, k, group).join(neighbours(full, k, group).select(group, "id", "other"), [group, "id", "other"], "left_anti").select(group, "id", "other")
+        here, there = full.select(group, "id", F.col("state").alias("a")), full.select(group, F.col("id").alias("other"), F.col("state").alias("b"))
+        listed = off.join(here, [group, "id"]).join(there, [group, "other"]).groupBy(group, "id").agg(F.first("a").alias("a"), F.collect_list(F.struct(distance(F.col("a"), F.col("b")).alias("d"), "other")).alias("lost"))
+        # Their ranks there are counts of closer points, so each pair of points is looked at once and none is sorted.
+        pairs = listed.join(there, group).where("id <> other").select(group, "lost", distance(F.col("a"), F.col("b")).alias("d"), "other")
+        closer = F.aggregate("lost", F.lit(0).cast("bigint"), lambda s, x: s + ((F.col("d") < x["d"]) | ((F.col("d") == x["d"]) & (F.col("other") < x["other"]))).cast("bigint"))
+        ranks = pairs.groupBy(group).agg(F.sum(closer).alias("closer"))
+        lost = off.groupBy(group).agg(F.count(F.lit(1)).alias("pairs")).join(ranks, group).select(group, (F.col("closer") + F.col("pairs") * (1 - k)).alias("lost"))
         scaled = sizes.join(lost, group, "left")
         return scaled.select(group, (1 - 2.0 / (F.col("n") * k * (2 * F.col("n") - 3 * k - 1)) * F.coalesce("lost", F.lit(0))).alias(name))
 

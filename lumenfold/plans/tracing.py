@@ -290,11 +290,17 @@ def intrinsic_dimension(spark, sf):
     return g.intrinsic_dimension(_points(spark, sf), 5).withColumn("local_intrinsic_dim", F.round("local_intrinsic_dim", 4))
 
 
-@query()
+RANKED = "(SELECT a.trace_id AS grp, a.token_idx AS id, b.token_idx AS other, row_number() OVER (PARTITION BY a.trace_id, a.token_idx ORDER BY list_distance(a.state, b.state), b.token_idx) AS rank FROM {0} a JOIN {0} b ON a.trace_id = b.trace_id AND a.token_idx <> b.token_idx)"
+LOST = "(SELECT grp, sum(x.rank - 5) AS lost FROM {} x JOIN {} y USING (grp, id, other) WHERE y.rank <= 5 AND x.rank > 5 GROUP BY 1)"
+
+
+@query(f"WITH {STATES_SQL}, flat AS (SELECT trace_id, token_idx, state[1:3] AS state FROM states), far AS {RANKED.format('states')}, near AS {RANKED.format('flat')}, ns AS (SELECT trace_id AS grp, count(*) AS n FROM states GROUP BY 1), "
+       f"t AS {LOST.format('far', 'near')}, c AS {LOST.format('near', 'far')} SELECT ns.grp AS \"group\", round(1 - 2.0 / (n * 5 * (2 * n - 16)) * coalesce(t.lost, 0), 5) AS trustworthiness, round(1 - 2.0 / (n * 5 * (2 * n - 16)) * coalesce(c.lost, 0), 5) AS continuity FROM ns LEFT JOIN t USING (grp) LEFT JOIN c USING (grp)")
 def projection_quality(spark, sf):
+    """How well the first three coordinates keep the neighbourhoods of all."""
     points = _points(spark, sf)
-    flat = g.pca(points, 3).select("group", "id", F.col("projected").alias("state"))
-    return g.preserved(points, flat, 5)
+    rows = g.preserved(points, points.withColumn("state", F.slice("state", 1, 3)), 5)
+    return rows.select("group", F.round("trustworthiness", 5).alias("trustworthiness"), F.round("continuity", 5).alias("continuity"))
 
 
 @query()

@@ -93,6 +93,12 @@ def test_geometry(spark):
     assert abs(g.participation_ratio(points, "group").first()[1] - values.sum() ** 2 / (values**2).sum()) < 1e-9
     flat = np.array([r["projected"] for r in g.pca(points, 4).orderBy("id").collect()])
     assert np.allclose(np.linalg.norm(flat[:, None] - flat[None], axis=2), np.linalg.norm(x[:, None] - x[None], axis=2))
+    shadow = spark.createDataFrame([("g", i, list(map(float, v[:1]))) for i, v in enumerate(x)], points.schema)
+    far, near = (np.linalg.norm(y[:, None] - y[None], axis=2) for y in (x, x[:, :1]))
+    order = [np.argsort(np.argsort(d + np.diag([-1.0] * len(x)), axis=1, kind="stable"), axis=1) for d in (far, near)]
+    want = [1 - 2 / (30 * 5 * (60 - 15 - 1)) * (a - 5)[(b <= 5) & (b > 0) & (a > 5)].sum() for a, b in (order, order[::-1])]
+    got = g.preserved(points, shadow, 5).first()
+    assert np.allclose([got["trustworthiness"], got["continuity"]], want)
     same = g.preserved(points, points, 5).first()
     assert (same["trustworthiness"], same["continuity"]) == (1.0, 1.0)
 
