@@ -68,6 +68,12 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own that nothing reads any more, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once an application, in batches of a bounded size: BATCH_BYTES
     where the session has Spark's own default."""
