@@ -147,5 +147,30 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def _matches(kind: int, pattern: str, group: int, least: int) -> str:
+    text, p = "coalesce(text, '')", pattern.replace("'", "''")
+    return f"SELECT doc_id, {kind} AS kind, {least} AS least, regexp_extract_all({text}, '{p}', 0) AS whole, regexp_extract_all({text}, '{p}', {group}) AS part, string_split_regex({text}, '{p}') AS gaps FROM documents"
+
+
+_KINDS = [*((k, pattern, group, least) for k, (_, pattern, group, least) in enumerate(BASE)), (len(BASE), CANDIDATE, 0, WINDOW)]
+_CLASS = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "hexa": "0-9a-fA-F"}
+#: The query's rows in DuckDB's SQL, each window's entropy counted anew.
+SQL = f"""WITH m AS ({" UNION ALL ".join(_matches(*k) for k in _KINDS)}),
+one AS (SELECT doc_id, kind, least, unnest(whole) AS s, unnest(part) AS part, unnest(gaps[1:len(whole)]) AS gap, generate_subscripts(whole, 1) AS k FROM m WHERE len(whole) > 0),
+placed AS (SELECT *, sum(length(gap) + length(s)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS stop FROM one),
+span AS (SELECT doc_id, kind, s, (stop - length(s))::BIGINT AS start, stop::BIGINT AS stop FROM placed WHERE length(part) >= least),
+base AS (SELECT * FROM span WHERE kind < {len(BASE)}),
+run AS (SELECT * FROM span r WHERE kind = {len(BASE)} AND (regexp_matches(s, '[0-9]') OR regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]')) AND NOT ({" OR ".join(f"regexp_matches(s, '{p}')" for p in ALLOWED)})
+  AND NOT (contains(s, '/') AND 2 * len([w FOR w IN string_split(s, '/') IF regexp_matches(w, '{PLAIN_WORD}')]) >= len(string_split(s, '/')))
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r.stop AND r.start < b.stop)),
+win AS (SELECT doc_id, start, w, list_entropy(string_split(w, '')) AS bits, {", ".join(f"length(regexp_replace(w, '[^{c}]', '', 'g')) AS {n}" for n, c in _CLASS.items())} FROM (SELECT doc_id, start, substr(s, i, {WINDOW}) AS w FROM (SELECT *, unnest(range(1, length(s) - {WINDOW} + 2)) AS i FROM run))),
+tells AS (SELECT DISTINCT doc_id, start FROM (SELECT *, hexa = {WINDOW} AND digit > 2 AND digit < {WINDOW} AS is_hex FROM win)
+  WHERE lower > 0 AND upper > 0 AND (digit > 1 AND bits >= {MIXED_BITS} OR bits >= {LETTER_BITS}) OR is_hex AND bits >= {HEX_BITS} OR NOT is_hex AND digit > 2 AND lower + upper > 2 AND bits >= {CASE_BITS}),
+kept AS (SELECT * FROM base UNION ALL SELECT run.* FROM run JOIN tells USING (doc_id, start)),
+shown AS (SELECT doc_id, kind, start, ['{"', '".join([n for n, *_ in BASE] + ["entropy"])}'][kind + 1] || ':' || start || ':' || stop AS t FROM kept),
+found AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(t, ',' ORDER BY start, kind) FILTER (kind < {len(BASE)}) AS of_base, string_agg(t, ',' ORDER BY start, kind) AS spans FROM shown GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(of_base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN found USING (doc_id)"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(read_table(spark, sf_dir, "documents")))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import tempfile
@@ -18,6 +19,7 @@ import corpus_pipeline
 from lumenfold.llm import op1_packing, op2_toxicity, op3_line_dedup, op4_token_files, op5_secrets, op6_sharding, op7_quality_rules, op8_decontamination, op9_quality, op10_near_dedup, registry, simple8b
 from lumenfold.llm.labelled import labelled_sample
 from lumenfold.llm.tokens import TextEncoder
+from lumenfold.session import shared_dir
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, score double, row string, node long"
@@ -566,3 +568,8 @@ def test_pipeline(spark, docs, empty, tmp_path):
     assert 20 <= now.count() < len(ROWS)
     assert now.where(F.col("doc_id") == 0).count() == 0
     assert [f(spark, empty, str(tmp_path)).count() for _, f in corpus_pipeline.STAGES] == [0] * 5
+    # The whole run gives the rows of the stages one after the other, and leaves one folder of its own.
+    want = corpus_pipeline.packing(spark, now, "").agg(F.sum("length"), F.count_distinct("doc_id")).first()
+    assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length"), F.count_distinct("doc_id")).first() == want
+    left = [x for x in os.listdir(shared_dir(spark)) if x.split("-")[0] in dict(corpus_pipeline.STAGES)]
+    assert [x.split("-")[0] for x in left] == ["decontamination"]
