@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import op1_packing, op2_toxicity, op3_line_dedup, op8_decontamination, op10_near_dedup
-from lumenfold.session import cut, read_table, shared_path
+from lumenfold.session import cut, discard, read_table, shared_path
 
 #: A table of decisions is broadcast up to this many rows, counted before; beyond it the join is by key.
 BROADCAST_ROWS = 1_000_000
@@ -58,10 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents, each written as Parquet to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages in turn over documents, each written as Parquet to the shared folder and read again.
+
+    What a stage has written goes when the next one's is there; only the last one's, which the result reads, stays.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         folder = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            discard(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
