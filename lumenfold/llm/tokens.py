@@ -123,6 +123,6 @@ class Pieces(dict):
         return found
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, pieces: int = PIECES) -> TextEncoder:
     """One a worker process, of the tokenizer used last."""
-    return held(("encoder", path), lambda: TextEncoder(path))
+    return held(("encoder", path, pieces), lambda: TextEncoder(path, pieces))
