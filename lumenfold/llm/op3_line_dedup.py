@@ -148,12 +148,13 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, every: bool = Fals
     coded = keyed(distinct, threshold)
     # A key with a large share of the lines is dealt out; it has several lines, so it needs no look at the others.
     hot = F.broadcast(hot_keys(docs, threshold))
-    coded = coded.join(hot, coded["key"] == hot["hot_key"], "left").select("key", "id", F.when(F.col("hot_key").isNotNull(), F.pmod(F.shiftright("id", 1), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int").alias("salt"))
-    group = Window.partitionBy("key", "salt")
-    # Plain columns in the window, so that two numbers a row are exchanged; the lowest bit of id tells own segments.
+    dealt = F.xxhash64("key", F.pmod(F.shiftright("id", 1), F.lit(SALTS)))
+    coded = coded.join(hot, coded["key"] == hot["hot_key"], "left").select(F.when(F.col("hot_key").isNull(), F.col("key")).otherwise(dealt).alias("key"), "id", "hot_key")
+    group = Window.partitionBy("key")
+    # Plain columns in the window, so that few numbers a row are exchanged; the lowest bit of id tells own segments.
     shared = coded.select("*", F.min("id").over(group).alias("low"), F.max("id").over(group).alias("high"), F.bit_or("id").over(group).alias("any"))
     several, used = even(F.col("low")) != even(F.col("high")), F.col("any").bitwiseAND(F.lit(1)) == 1
-    shared = cut(shared.where((F.col("salt") > 0) | (several & used)).select("key", even(F.col("id")).alias("id"), (F.col("id").bitwiseAND(F.lit(1)) == 1).alias("own")))
+    shared = cut(shared.where(F.col("hot_key").isNotNull() | (several & used)).select(F.coalesce("hot_key", "key").alias("key"), even(F.col("id")).alias("id"), (F.col("id").bitwiseAND(F.lit(1)) == 1).alias("own")))
     # The lines behind those keys, with their texts.
     needed = small(shared.select("id").distinct(), 64)
     texts = all_lines.withColumn("id", even(F.xxhash64("line"))).join(needed, "id", "left_semi")
