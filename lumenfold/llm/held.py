@@ -14,15 +14,20 @@ from typing import Any
 _now: tuple[Hashable, Any] = (None, None)
 
 
+def trim() -> None:
+    """Give memory that nothing holds any more back to the system, where the C library can."""
+    gc.collect()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def release() -> None:
-    """Drop what is kept, and give the memory back to the system where the C library can."""
+    """Drop what is kept."""
     global _now
     if _now[0] is None:
         return
     _now = (None, None)
-    gc.collect()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    trim()
 
 
 def held(key: Hashable, build: Callable[[], Any]) -> Any:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.held import held
+from lumenfold.llm.held import held, trim
 from lumenfold.llm.labelled import held_out, labelled_sample
 from lumenfold.llm.linear import Calibration, svm
 from lumenfold.session import read_table, ship
@@ -320,6 +320,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, who
     ship(spark)
     rows = labelled_sample(docs, labels, "toxic", ~held_out(5, 0), sample)
     fitted = spark.sparkContext.broadcast(train([r["text"] for r in rows], np.array([r["label"] for r in rows], bool)))
+    del rows
+    trim()
     given = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if whole else F.col("text")
     own = docs.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), given)
     schema = T.StructType([*T.StructType.fromDDL(RESULT).fields, *own.schema.fields[2:][: int(whole)]])

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from lumenfold.llm.held import held
 
 #: Entries of an encoder's table of pieces at most, some 0.3 kB each; the one of words inside pieces has a fifth.
-PIECES = 380_000
+PIECES = 150_000
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: The byte-level pre-tokenizer's pattern and the bytes that its alphabet keeps as they are.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
