@@ -18,6 +18,7 @@ MODULES = (
     "op8_decontamination",
     "op9_quality",
     "op10_near_dedup",
+    "op11_hard_negatives",
 )
 
 
