@@ -19,6 +19,7 @@ MODULES = (
     "op9_quality",
     "op10_near_dedup",
     "op11_hard_negatives",
+    "op12_source_divergence",
 )
 
 
