@@ -20,6 +20,7 @@ MODULES = (
     "op10_near_dedup",
     "op11_hard_negatives",
     "op12_source_divergence",
+    "op13_url_filters",
 )
 
 
