@@ -68,7 +68,8 @@ def shrunk(nodes: DataFrame, mean: str) -> DataFrame:
     """nodes with n pages, x bad ones and a parent's mean -> with `k`, the precision of their level's prior."""
     m, n, x = F.col(mean), F.col("n"), F.col("x")
     one = m * (1 - m)
-    spread, most = F.sum((x - n * m) * (x - n * m) - n * one), F.sum(n * (n - 1) * one)
+    # A node's scatter grows with the square of its pages; divided by their number, no large node tells alone.
+    spread, most = F.sum(F.when(n > 1, ((x - n * m) * (x - n * m) - n * one) / (n - 1))), F.sum(F.when(n > 1, n * one))
     rho = F.least(F.greatest(F.coalesce(spread / F.nullif(most, F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_RHO)), F.lit(MOST_RHO))
     return nodes.join(F.broadcast(nodes.agg((1 / rho - 1).alias("k"))), F.lit(True))
 
@@ -84,7 +85,7 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     domains = cut(hosts.groupBy("domain", "suffix").agg(*add))
     suffixes = domains.groupBy("suffix").agg(*add)
     # One row: the mean of all labelled pages.
-    all_ = suffixes.agg(((F.sum("x") + 0.5) / (F.sum("n") + 1.0)).alias("all_mean"))
+    all_ = suffixes.agg(F.coalesce(F.sum("x") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("all_mean"))
     posterior = (F.col("x") + F.col("k") * F.col("parent")) / (F.col("n") + F.col("k"))
     top = shrunk(cut(suffixes.join(F.broadcast(all_), F.lit(True)).withColumnRenamed("all_mean", "parent")), "parent").select("suffix", posterior.alias("parent"))
     middle = shrunk(cut(domains.join(top, "suffix")), "parent").select("domain", "suffix", posterior.alias("parent"))
@@ -110,7 +111,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str
 
 def _level(nodes: str, parent: str) -> str:
     """SQL: the nodes with their parents' mean, their level's precision and posterior mean."""
-    rho = f"least(greatest(coalesce(sum((x - n * {parent}) * (x - n * {parent}) - n * {parent} * (1 - {parent})) / nullif(sum(n * (n - 1) * {parent} * (1 - {parent})), 0), 0), {LEAST_RHO}), {MOST_RHO})"
+    rho = f"least(greatest(coalesce(sum(CASE WHEN n > 1 THEN ((x - n * {parent}) * (x - n * {parent}) - n * {parent} * (1 - {parent})) / (n - 1) END) / nullif(sum(CASE WHEN n > 1 THEN n * {parent} * (1 - {parent}) END), 0), 0), {LEAST_RHO}), {MOST_RHO})"
     return f"(SELECT *, (x + k * {parent}) / (n + k) AS share FROM {nodes}, (SELECT 1 / {rho} - 1 AS k FROM {nodes}))"
 
 
@@ -122,7 +123,7 @@ h0 AS (SELECT host, regexp_replace(host, '^.*@|:\d*$', '', 'g') AS bare, count(b
 hosts AS (SELECT host, n, x, CASE WHEN regexp_matches(bare, '^[0-9.]*$|^\[') THEN bare ELSE regexp_extract(bare, '((?:[^.]*\.)?(?:(?:{_SECOND})\.[a-z][a-z]|[^.]*))$', 1) END AS domain,
   CASE WHEN regexp_matches(bare, '^[0-9.]*$|^\[') THEN '' ELSE regexp_extract(bare, '^(?:.*\.)?((?:(?:{_SECOND})\.[a-z][a-z]|[^.]*))$', 1) END AS suffix FROM h0),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(x) AS x FROM hosts GROUP BY 1, 2),
-s1 AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM domains GROUP BY 1), s2 AS (SELECT *, (SELECT (sum(x) + 0.5) / (sum(n) + 1.0) FROM s1) AS m FROM s1), s3 AS {_level("s2", "m")},
+s1 AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM domains GROUP BY 1), s2 AS (SELECT *, (SELECT coalesce(sum(x) / nullif(sum(n), 0), 0.0) FROM s1) AS m FROM s1), s3 AS {_level("s2", "m")},
 d2 AS (SELECT d.*, s3.share AS m FROM domains d JOIN s3 USING (suffix)), d3 AS {_level("d2", "m")},
 h2 AS (SELECT h.*, d3.share AS m FROM hosts h JOIN d3 USING (domain, suffix)), h3 AS {_level("h2", "m")},
 blocked AS (SELECT host FROM h3 WHERE pow(sin(greatest(asin(sqrt(least(share, 1.0))) - {SURE} / (2 * sqrt(n + k + 1)), 0.0)), 2) >= {LIMIT}),
