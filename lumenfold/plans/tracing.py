@@ -9,7 +9,6 @@ from lumenfold.operators import measurements as ms
 from lumenfold.operators import traces as t
 from lumenfold.plans.inputs import STATES_SQL, states
 from lumenfold.session import read_table, shared_path
-from lumenfold.streaming import appended
 
 QUERIES, ORACLES = {}, {}
 
@@ -370,16 +369,3 @@ def execute_sequence(spark, sf):
 @query(f"WITH RECURSIVE {NEAR}, links AS (SELECT grp, id AS a, other AS b FROM near WHERE rank <= 2 UNION SELECT grp, other, id FROM near WHERE rank <= 2), reach AS (SELECT trace_id AS grp, token_idx AS a, token_idx AS b FROM states UNION SELECT r.grp, r.a, l.b FROM reach r JOIN links l ON l.grp = r.grp AND l.a = r.b) SELECT grp AS \"group\", count(DISTINCT low) AS connected_components FROM (SELECT grp, a, min(b) AS low FROM reach GROUP BY 1, 2) GROUP BY 1")
 def connected_components(spark, sf):
     return g.connected_parts(_points(spark, sf), 2)
-
-
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
-def appended_counts(spark, sf):
-    # A streaming source lists a folder; the pattern picks the one table of it.
-    events = read_table(spark, sf, "events")
-    return appended.counts(spark, f"{sf}/events.parquet*", events.schema, ["event_type"])
-
-
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
-def windowed_counts(spark, sf):
-    rows = appended.windowed(read_table(spark, sf, "events"))
-    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
