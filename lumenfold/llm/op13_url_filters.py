@@ -71,7 +71,7 @@ def shrunk(nodes: DataFrame, mean: str) -> DataFrame:
     # A node's scatter grows with the square of its pages; divided by their number, no large node tells alone.
     spread, most = F.sum(F.when(n > 1, ((x - n * m) * (x - n * m) - n * one) / (n - 1))), F.sum(F.when(n > 1, n * one))
     rho = F.least(F.greatest(F.coalesce(spread / F.nullif(most, F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_RHO)), F.lit(MOST_RHO))
-    return nodes.join(F.broadcast(nodes.agg((1 / rho - 1).alias("k"))), F.lit(True))
+    return nodes.withColumn("k", F.lit(nodes.agg(1 / rho - 1).first()[0]))
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -84,10 +84,9 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     add = (F.sum("n").alias("n"), F.sum("x").alias("x"))
     domains = cut(hosts.groupBy("domain", "suffix").agg(*add))
     suffixes = domains.groupBy("suffix").agg(*add)
-    # One row: the mean of all labelled pages.
-    all_ = suffixes.agg(F.coalesce(F.sum("x") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("all_mean"))
+    mean = domains.agg(F.coalesce(F.sum("x") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0))).first()[0]
     posterior = (F.col("x") + F.col("k") * F.col("parent")) / (F.col("n") + F.col("k"))
-    top = shrunk(cut(suffixes.join(F.broadcast(all_), F.lit(True)).withColumnRenamed("all_mean", "parent")), "parent").select("suffix", posterior.alias("parent"))
+    top = shrunk(cut(suffixes.withColumn("parent", F.lit(mean))), "parent").select("suffix", posterior.alias("parent"))
     middle = shrunk(cut(domains.join(top, "suffix")), "parent").select("domain", "suffix", posterior.alias("parent"))
     low = shrunk(cut(hosts.join(middle, ["domain", "suffix"])), "parent")
     share, pages_seen = posterior, F.col("n") + F.col("k")
