@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.vectors import cosine_distance, distance, menger, total
+from lumenfold.operators.neighbours import neighbours
 from lumenfold.session import cut
 
 CORE = ("beta_0", "beta_1", "participation_ratio", "local_intrinsic_dim")
@@ -112,17 +113,6 @@ def participation_ratio(vectors: DataFrame, group: str, state: str = "state") ->
     return cov.groupBy(F.col("g").alias(group)).agg((F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))) ** 2 / F.nullif(squares, F.lit(0.0))).alias("participation_ratio"))
 
 
-def neighbours(vectors: DataFrame, k: int, group: str = "group", state: str = "state") -> DataFrame:
-    """(group, id, state) -> group, id, other, d, rank for the k nearest in the same group; ties by id.
-
-    Exhaustive, so a group is a set of points whose pairs are wanted, such as one trace's.
-    """
-    a, b = vectors.select(group, F.col("id").alias("id"), F.col(state).alias("a")), vectors.select(group, F.col("id").alias("other"), F.col(state).alias("b"))
-    near = a.join(b, group).where("id <> other").select(group, "id", "other", distance(F.col("a"), F.col("b")).alias("d"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(group, "id").orderBy("d", "other")))
-    return ranked.where(F.col("rank") <= k)
-
-
 def intrinsic_dimension(vectors: DataFrame, k: int = 10, group: str = "group") -> DataFrame:
     """Mean over a group's points of the maximum-likelihood estimate from k neighbours."""
     near = neighbours(vectors, k, group)
