@@ -27,7 +27,7 @@ from lumenfold.functions.vectors import distance
 from lumenfold.session import cut, ship
 
 #: Vectors of a block, cells that a cell is dealt out to, and blocks that are tried before the rest.
-BLOCK, FAN, FIRST = 512, 32, 4
+BLOCK, FAN, FIRST = 256, 32, 4
 #: A cell that keeps this share of the one above it isn't dealt out again.
 STUCK = 0.9
 #: Allowance for rounding in bounds; what passes is compared exactly.
@@ -197,7 +197,9 @@ class Blocks:
                 break
             rest = open_.join(large, ["g", "cell"])
             offers = rest.select("g", "cell", "above", "ids", "x").mapInArrow(_offered(_arrow(self.kind, cell=pa.string(), h=pa.int64(), x=XS), fan, turn), f"g {self.kind.simpleString()}, cell string, h long, x array<double>")
+            # As many pivots as halves of blocks, so that cells end near a block's size.
             chosen = offers.withColumn("rank", F.row_number().over(Window.partitionBy("g", "cell").orderBy("h"))).where(F.col("rank") <= fan)
+            chosen = chosen.join(large, ["g", "cell"]).where(F.col("rank") <= F.greatest(F.lit(2), F.ceil(2 * F.col("n") / block)))
             pivots = chosen.groupBy("g", "cell").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("h", "x"))), lambda p: p["x"])).alias("pivots"))
             dealt = rest.join(pivots, ["g", "cell"]).select("g", "cell", "ids", "x", "pivots", "n").mapInArrow(_dealt(schema), ddl)
             open_ = cut(self._gathered(dealt, schema, ddl, block))
