@@ -27,7 +27,7 @@ from lumenfold.functions.vectors import distance
 from lumenfold.session import cut, ship
 
 #: Vectors of a block, cells that a cell is dealt out to, and blocks that are tried before the rest.
-BLOCK, FAN, FIRST = 256, 32, 4
+BLOCK, FAN, FIRST = 512, 32, 4
 #: A cell that keeps this share of the one above it isn't dealt out again.
 STUCK = 0.9
 #: Allowance for rounding in bounds; what passes is compared exactly.
@@ -204,6 +204,7 @@ class Blocks:
             dealt = rest.join(pivots, ["g", "cell"]).select("g", "cell", "ids", "x", "pivots", "n").mapInArrow(_dealt(schema), ddl)
             open_ = cut(self._gathered(dealt, schema, ddl, block))
             turn += 1
+        self.single = not turn
         all_ = closed[0].select("g", "cell", "above", "ids", "x")
         for more in closed[1:]:
             all_ = all_.unionByName(more.select("g", "cell", "above", "ids", "x"))
@@ -265,6 +266,10 @@ class Blocks:
         """g, id, other, d of each vector's k nearest; `tried` counts the distances that were made."""
         order = Window.partitionBy("g", "id").orderBy("d", "other")
         first = lambda rows: rows.where("id IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
+        if self.single:
+            alone = cut(self._met(self.leaves.select("g", "leaf", F.col("leaf").alias("other")), None))
+            self.tried = alone.agg(F.coalesce(F.sum("tried"), F.lit(0))).first()[0]
+            return first(alone).select("g", "id", "other", "d")
         pairs = self.pairs().withColumn("place", F.row_number().over(Window.partitionBy("g", "leaf").orderBy(F.col("leaf") != F.col("other"), "apart", "other")))
         pairs = cut(pairs)
         early = cut(self._met(pairs.where(F.col("place") <= FIRST), None))

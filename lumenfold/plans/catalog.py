@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenfold.plans import evaluation, streams, tables, tracing
+from lumenfold.plans import evaluation, shapes, streams, tables, tracing
 
-QUERIES = tables.QUERIES | evaluation.QUERIES | tracing.QUERIES | streams.QUERIES
-ORACLES = tables.ORACLES | evaluation.ORACLES | tracing.ORACLES | streams.ORACLES
+QUERIES = tables.QUERIES | evaluation.QUERIES | tracing.QUERIES | streams.QUERIES | shapes.QUERIES
+ORACLES = tables.ORACLES | evaluation.ORACLES | tracing.ORACLES | streams.ORACLES | shapes.ORACLES
