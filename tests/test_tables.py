@@ -91,24 +91,6 @@ def test_asking(spark):
     assert {r["error"] for r in agents.ask(rows, "s", refusing, 3, 100.0).collect()} == {"key"}
 
 
-def test_loop(spark):
-    turns = iter([{"role": "assistant", "content": "Let me.", "tool_calls": [{"id": "1", "function": {"name": "add", "arguments": '{"a": 1, "b": 2}'}}, {"id": "2", "function": {"name": "no"}}, {"id": "3", "function": {"name": "add", "arguments": "{"}}, {"id": "4", "function": {"name": "add", "arguments": '{"a": 1}'}}]}, {"role": "assistant", "content": "3"}])
-    heard = []
-    add = agents.Tool("add", "adds", lambda a, b: a + b)
-    said = agents.loop(lambda m: next(turns), "1 + 2?", [add], system="Be brief.", on_event=lambda kind, payload: heard.append(kind))
-    answers = [m["content"] for m in said.messages if m["role"] == "tool"]
-    assert answers[:2] == ["3", "Error: unknown tool 'no'"] and answers[2].startswith("Error: could not parse arguments") and "raised" in answers[3]
-    assert (said.answer, said.steps, said.stopped, len(said.tool_calls)) == ("3", 2, "end_turn", 4) and heard == ["assistant", *["tool_call", "tool_result"] * 4, "assistant"]
-    assert said.messages[0]["role"] == "system"
-    more = agents.loop(lambda m: {"role": "assistant", "content": str(len(m))}, "and now?", history=said.messages, system="Not again.")
-    assert more.answer == str(len(said.messages) + 1) and more.messages[0]["content"] == "Be brief."
-    endless = agents.loop(lambda m: {"role": "assistant", "content": None, "tool_calls": [{"id": "1", "function": {"name": "add", "arguments": ""}}]}, "go", [], max_steps=2)
-    assert (endless.stopped, endless.steps, endless.answer) == ("max_steps", 2, agents.NO_ANSWER)
-    assert add.schema()["function"]["name"] == "add" and add.block()["input_schema"]["type"] == "object"
-    rows = agents.transcripts(spark.createDataFrame([("x", json.dumps(said.messages))], "id string, messages string"))
-    assert rows.count() == len(said.messages) and rows.where("role = 'tool'").count() == 4 and "add" in rows.where("turn = 2").first()["tool_calls"]
-
-
 def test_paths(spark):
     """Functions by path, async loaders, and scores from embeddings that are joined by key."""
 
