@@ -107,33 +107,47 @@ def _sentences(line: Column) -> Column:
     return let(found, lambda f: let(ends(f), lambda all_ends: placed(f, all_ends)))
 
 
+def _lowest_before(values: list[float]) -> list[float]:
+    """Of each value the lowest one from it back to the last higher one, by a stack of falling values."""
+    out, higher = [], []
+    for value in values:
+        low = value
+        while higher and higher[-1][0] <= value:
+            low = min(low, higher.pop()[1])
+        higher.append((value, low))
+        out.append(low)
+    return out
+
+
+def _tops(values: np.ndarray) -> np.ndarray:
+    """Middles of the level stretches that are higher than what is on both sides."""
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    level = values[begin]
+    inner = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    return (begin[inner] + begin[inner + 1] - 1) // 2
+
+
 def peaks(values: np.ndarray, prominence: float, distance: int) -> np.ndarray:
-    """Strict local maxima (middles of plateaus) that stand out by `prominence`, highest first where closer than `distance`."""
-    n, found, i = len(values), [], 1
-    while i < n - 1:
-        if values[i - 1] < values[i]:
-            j = i
-            while j < n - 1 and values[j + 1] == values[i]:
-                j += 1
-            if j < n - 1 and values[j + 1] < values[i]:
-                found.append((i + j) // 2)
-            i = j
-        i += 1
-    keep = np.ones(len(found), bool)
-    for k in np.argsort([values[p] for p in found], kind="stable")[::-1]:
+    """Strict local maxima (middles of plateaus) that stand out by `prominence`, highest first where closer than `distance`.
+
+    Linear but for one sort: what is kept lies apart, so a maximum is dropped by two others at most.
+    """
+    values = np.asarray(values, float)
+    if len(values) < 3:
+        return np.array([], int)
+    tops = _tops(values)
+    keep, at = np.ones(len(tops), bool), tops.tolist()
+    for k in np.argsort(values[tops], kind="stable")[::-1].tolist() if distance > 1 else ():
         if keep[k]:
-            for other in range(len(found)):
-                if other != k and abs(found[other] - found[k]) < distance:
+            for step, end in ((-1, -1), (1, len(at))):
+                other = k + step
+                while other != end and abs(at[other] - at[k]) < distance:
                     keep[other] = False
-    out = []
-    for p in (p for p, k in zip(found, keep, strict=True) if k):
-        higher_left = np.flatnonzero(values[:p] > values[p])
-        higher_right = np.flatnonzero(values[p + 1 :] > values[p])
-        left = values[(higher_left[-1] + 1 if len(higher_left) else 0) : p + 1].min()
-        right = values[p : (p + 1 + higher_right[0] if len(higher_right) else n)].min()
-        if values[p] - max(left, right) >= prominence:
-            out.append(p)
-    return np.array(out, int)
+                    other += step
+    listed = values.tolist()
+    base = np.maximum(_lowest_before(listed), _lowest_before(listed[::-1])[::-1])
+    tops = tops[keep]
+    return tops[values[tops] - base[tops] >= prominence]
 
 
 def velocity_segments(states: DataFrame, min_tokens: int = 5, factor: float = 1.0) -> DataFrame:

@@ -6,8 +6,9 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from lumenfold.operators import geometry, tangent
-from lumenfold.session import read_table
+from lumenfold.operators import diffusion, geometry, tangent
+from lumenfold.operators.neighbours import neighbours
+from lumenfold.session import cut, read_table
 from lumenfold.sources import metrics, registry
 
 QUERIES, ORACLES = {}, {}
@@ -69,3 +70,25 @@ def tangent_space(spark, sf):
     """Of each label's vectors: the dimension of their neighbourhoods and the angle between neighbours' tangent planes."""
     rows = read_table(spark, sf, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("state"))
     return tangent.tangent_space(rows, 10, 2).select("group", "n", F.round("dimension", 6).alias("dimension"), F.round("angle", 6).alias("angle"))
+
+
+def _labelled(spark, sf):
+    return read_table(spark, sf, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("state"))
+
+
+@query("WITH v AS (SELECT label AS g, vec_id AS id, embedding::DOUBLE[] AS state FROM embeddings), near AS (SELECT a.g, a.id, b.id AS other, list_distance(a.state, b.state) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.state, b.state), b.id) AS rank FROM v a JOIN v b ON a.g = b.g AND a.id <> b.id), "
+       "wide AS (SELECT *, max(d) FILTER (rank = 5) OVER (PARTITION BY id) AS e FROM near WHERE rank <= 15), one AS (SELECT g, id AS a, other AS b, exp(-power(d / e, 10)) AS w FROM wide WHERE exp(-power(d / e, 10)) >= 1e-4), "
+       "kernel AS (SELECT g, a, b, sum(w) / 2 AS w FROM (SELECT * FROM one UNION ALL SELECT g, b, a, w FROM one) GROUP BY 1, 2, 3 UNION ALL SELECT g, id, id, 1.0 FROM v), p AS (SELECT *, w / sum(w) OVER (PARTITION BY a) AS p FROM kernel) "
+       "SELECT x.g AS \"group\", x.a, y.b, round(sum(x.p * y.p), 6) AS p FROM p x JOIN p y ON x.b = y.a AND x.g = y.g GROUP BY 1, 2, 3")
+def diffusion_steps(spark, sf):
+    """Two steps of the walk over each label's graph of neighbours."""
+    points = _labelled(spark, sf)
+    step = cut(diffusion.markov(diffusion.with_selves(diffusion.decaying(neighbours(points, 15), 5, 10.0), points)))
+    return diffusion.product(step, step).withColumn("p", F.round("p", 6))
+
+
+@query()
+def phate(spark, sf):
+    """Each label's vectors in two dimensions."""
+    drawn = diffusion.phate(_labelled(spark, sf), 5, 10.0, 8)
+    return drawn.select("group", "id", F.round(F.get("projected", F.lit(0)), 3).alias("x"), F.round(F.get("projected", F.lit(1)), 3).alias("y"))

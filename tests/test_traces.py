@@ -186,3 +186,29 @@ def test_connected_parts(spark):
     points = [("g", i, [float(i + 100 * (i > 4)), 0.0]) for i in range(10)] + [("h", 0, [0.0, 0.0]), ("h", 1, [1.0, 0.0])]
     got = g.connected_parts(spark.createDataFrame(points, "group string, id int, state array<double>"), 2)
     assert {r["group"]: r["connected_components"] for r in got.collect()} == {"g": 2, "h": 1}
+
+
+def test_peaks_are_linear_and_as_defined():
+    def plain(v, least, apart):
+        """By the definition: every maximum against all others."""
+        n = len(v)
+        runs = [(i, j) for i in range(1, n) for j in range(i, n - 1) if v[i - 1] < v[i] and all(v[k] == v[i] for k in range(i, j + 1)) and v[j + 1] < v[i]]
+        tops = [(i + j) // 2 for i, j in runs]
+        kept: list[int] = []
+        for p in sorted(tops, key=lambda p: (v[p], p), reverse=True):
+            if all(abs(p - q) >= apart for q in kept):
+                kept.append(p)
+        out = []
+        for p in sorted(kept):
+            left, right = [k for k in range(p) if v[k] > v[p]], [k for k in range(p + 1, n) if v[k] > v[p]]
+            low = max(min(v[max(left, default=-1) + 1 : p + 1]), min(v[p : min(right, default=n)]))
+            out += [p] * (v[p] - low >= least)
+        return out
+
+    rng = np.random.default_rng(6)
+    for turn in range(300):
+        n = int(rng.integers(0, 30))
+        v = rng.integers(0, 5, n).astype(float) if turn % 2 else rng.random(n)
+        for least, apart in ((0.0, 1), (1.0, 5), (2.5, 3), (0.3, 2)):
+            assert t.peaks(v, least, apart).tolist() == plain(v.tolist(), least, apart)
+    assert len(t.peaks(rng.random(400_000), 0.5, 5)) > 10_000
