@@ -88,3 +88,31 @@ def patterns() -> list[tuple[str, str, str, str]]:
     names = [(c, m, r"(?U)\b" + re.sub("_", r"[\\s_\\-]?", re.sub(r"([.\-])", r"\\\1", m)) + r"\b") for c, ms in METHODS.items() for m in ms]
     phrases = [(c, m, "(?U)" + p) for (c, m), ps in PHRASES.items() for p in ps]
     return [(c, m, p, needle(p)) for c, m, p in names + phrases]
+
+
+def first_words(method: str, pattern: str) -> set[str]:
+    """The words of letters, digits and underscores that a name's matches can start with; none for a phrase, which may
+    start inside a word."""
+    if not pattern.startswith(r"(?U)\b"):
+        return set()
+    parts = re.split(r"[.\-]", method, maxsplit=1)[0].split("_")
+    out, whole = {parts[0]}, {parts[0]}
+    for part in parts[1:]:
+        whole = {w + sep + part for w in whole for sep in ("", "_")}
+        out |= whole
+    return out
+
+
+def quick(pattern: str) -> str:
+    """A name's pattern that looks at the next letter before it looks for a word's start."""
+    return re.sub(r"^\(\?U\)\\b(.)", r"(?U)(?=\1)\\b\1", pattern)
+
+
+def either(words: set[str]) -> str:
+    """A pattern of any of the words, which branches letter by letter, so that a place in a text is ruled out by one."""
+    ends = "" in words
+    branches = [first + either({w[1:] for w in words if w[:1] == first}) for first in sorted({w[0] for w in words if w})]
+    if not branches:
+        return ""
+    whole = branches[0] if len(branches) == 1 and not ends else f"(?:{'|'.join(branches)})"
+    return f"{whole}?" if ends else whole

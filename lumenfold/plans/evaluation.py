@@ -8,7 +8,7 @@ from lumenfold.operators import evaluate as e
 from lumenfold.operators.extract import extract_methods as extract
 from lumenfold.operators.extract import violations
 from lumenfold.plans.inputs import JUDGED_SQL, NAMES, PROMPTS_SQL, RESULTS_SQL, found_sql, prompts, responses
-from lumenfold.session import read_table, shared_path
+from lumenfold.session import read_table, shared_path, spread
 from lumenfold.sources import loaders, sinks
 
 QUERIES, ORACLES = {}, {}
@@ -47,7 +47,7 @@ def extract_from_text(spark, sf):
     """Whole texts of the corpus, each with one name of the vocabulary recommended after it and another one rejected."""
     name = lambda k: F.replace(F.get(F.array(*map(F.lit, NAMES)), (k % len(NAMES)).cast("int")), F.lit("_"), F.lit(" "))
     told = F.concat(F.coalesce("text", F.lit("")), F.lit(" Use "), name(F.col("doc_id")), F.lit(" to begin. Avoid "), name(F.col("doc_id") * 7 + 3), F.lit("."))
-    found = extract(read_table(spark, sf, "documents").select("doc_id", told.alias("text")))
+    found = extract(spread(read_table(spark, sf, "documents")).select("doc_id", told.alias("text")))
     return found.select("doc_id", F.array_join("extracted_methods", ",").alias("methods"), *(F.col(f"mentions_{c}").alias(c) for c in ("clustering", "trajectory", "cell_cycle", "spatial")))
 
 

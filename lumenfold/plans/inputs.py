@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.vocabulary import INSPECTION, METHODS, patterns
-from lumenfold.session import read_table
+from lumenfold.session import read_table, spread
 
 PROMPTS = (
     ("p0", "discrete_clusters", ("leiden", "louvain", "kmeans", "spectral_clustering", "phenograph"), ("trajectory_inference", "pseudotime", "monocle", "slingshot")),
@@ -37,7 +37,7 @@ def prompts(spark: SparkSession) -> DataFrame:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A response a document: its whole text and a recommendation after it. System is its source, the prompt and the
     recommendation go by doc_id, one in 13 calls fails."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     texts = F.array(*(F.lit(r[0]) for r in RESPONSES))
     return d.select(
         "doc_id", F.concat(F.lit("p"), F.expr("(doc_id div 7) % 4").cast("string")).alias("prompt_id"), F.col("source").alias("system"), F.col("doc_id").alias("pos"),
