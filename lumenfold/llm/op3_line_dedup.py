@@ -28,6 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions.text import let
 from lumenfold.session import cut, read_table
 
 THRESHOLD = 2
@@ -42,7 +43,9 @@ CLASSES = ("aeo", "iu", "nst", "rlh", "dcm", "bpfgvw", "0123456789", " .,;:")
 
 def lines(docs: DataFrame, every: bool = False) -> DataFrame:
     """doc_id, th (the text's hash), pos, line, of lines long enough, or of every line that isn't blank as well."""
-    found = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # The hash is made below the lines: beside them it would be made anew for each.
+    hashed = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    found = hashed.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     long = F.length("line") >= MIN_CHARS
     return found.where(long | F.col("line").rlike(r"\S") if every else long)
 
@@ -191,7 +194,9 @@ def remove_repeated(docs: DataFrame, threshold: int = THRESHOLD, names: tuple[st
     none = F.array().cast("array<int>")
     exact, near = F.coalesce("__lf_exact", none), F.coalesce("__lf_near", none)
     own, drop = F.split("text", "\n"), F.concat(exact, near)
-    left = F.array_join(F.filter(own, lambda line, i: ~F.array_contains(drop, i)), "\n")
+    # Places less places, by a set of them, so a text of many repeated lines costs what its lines do.
+    stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i))
+    left = F.array_join(let(own, stay), "\n")
     text = F.when(F.size(drop) == 0, F.col("text")).otherwise(left)
     kept = [text.alias("text") if n == "text" else F.col(f"`{n}`") for n in docs.columns]
     return joined.select(*kept, F.when(F.col("text").isNull(), 0).otherwise(F.size(own)).cast("long").alias(names[0]), F.array_sort(exact).alias(names[1]), F.array_sort(near).alias(names[2]))
