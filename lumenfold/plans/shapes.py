@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from lumenfold.operators import diffusion, geometry, tangent
+from lumenfold.operators import diffusion, embedding, geometry, tangent
 from lumenfold.operators.neighbours import neighbours
 from lumenfold.session import cut, read_table
 from lumenfold.sources import metrics, registry
@@ -92,3 +92,16 @@ def phate(spark, sf):
     """Each label's vectors in two dimensions."""
     drawn = diffusion.phate(_labelled(spark, sf), 5, 10.0, 8)
     return drawn.select("group", "id", F.round(F.get("projected", F.lit(0)), 3).alias("x"), F.round(F.get("projected", F.lit(1)), 3).alias("y"))
+
+
+@query()
+def fuzzy_links(spark, sf):
+    """UMAP's weights over each label's graph of neighbours."""
+    return embedding.fuzzy_links(neighbours(_labelled(spark, sf), 10)).withColumn("w", F.round("w", 4))
+
+
+@query()
+def umap(spark, sf):
+    """All vectors in two dimensions."""
+    drawn = embedding.umap(vectors(spark, sf), 15, 4, 25)
+    return drawn.select("id", F.round(F.get("projected", F.lit(0)), 3).alias("x"), F.round(F.get("projected", F.lit(1)), 3).alias("y"))
