@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from lumenfold.operators import diffusion, embedding, geometry, tangent
+from lumenfold.operators import diffusion, embedding, geometry, neighbour_maps, tangent
 from lumenfold.operators.neighbours import neighbours
 from lumenfold.session import cut, read_table
 from lumenfold.sources import metrics, registry
@@ -105,3 +105,10 @@ def umap(spark, sf):
     """All vectors in two dimensions."""
     drawn = embedding.umap(vectors(spark, sf), 15, 4, 25)
     return drawn.select("id", F.round(F.get("projected", F.lit(0)), 3).alias("x"), F.round(F.get("projected", F.lit(1)), 3).alias("y"))
+
+
+@query()
+def tsne_affinities(spark, sf):
+    """t-SNE's affinities over the graph of all vectors; all of them sum up to 1."""
+    points = vectors(spark, sf).withColumn("group", F.lit(0))
+    return neighbour_maps.affinities(neighbours(points, 30), 10.0).withColumn("p", F.round("p", 8))

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from lumenfold.operators import embedding, geometry
+from lumenfold.operators import embedding, geometry, neighbour_maps
 from lumenfold.operators.neighbours import neighbours
 
 SCHEMA = "group int, id long, state array<double>"
@@ -63,3 +63,82 @@ def test_few_points(spark):
     assert embedding.umap(spark.createDataFrame([], SCHEMA)).collect() == []
     two = embedding.umap(spark.createDataFrame([(0, 1, [1.0]), (0, 2, [2.0])], SCHEMA)).collect()
     assert [r["projected"] for r in two] == [[0.0, 0.0]] * 2
+
+
+def exact_gradient(p, y, more=1.0):
+    gap = y[:, None] - y[None]
+    q0 = 1 / (1 + (gap**2).sum(-1))
+    np.fill_diagonal(q0, 0)
+    return 4 * (((more * p - q0 / q0.sum()) * q0)[:, :, None] * gap).sum(1)
+
+
+def test_affinities(spark):
+    x = blobs(80, 2)
+    x[3] = x[4]
+    n, perplexity, k = len(x), 5.0, 15
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    want = np.zeros((n, n))
+    for i in range(n):
+        near = sorted((math.sqrt(d2[i, j]), j) for j in range(n) if j != i)[:k]
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            beta = (low + high) / 2
+            w = np.exp(-beta * (np.array([q for q, _ in near]) ** 2 - near[0][0] ** 2))
+            w /= w.sum()
+            entropy = -(w[w > 0] * np.log(w[w > 0])).sum()
+            low, high = (beta, high) if entropy > math.log(perplexity) else (low, beta)
+        want[i, [j for _, j in near]] = w
+    want = (want + want.T) / 2 / n
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    got = np.zeros((n, n))
+    for r in neighbour_maps.affinities(neighbours(df, k), perplexity).collect():
+        got[r["a"], r["b"]] = r["p"]
+    assert np.allclose(got, want, atol=1e-8) and abs(got.sum() - 1) < 1e-9
+
+
+def test_gradient_is_close_to_the_exact_one(spark):
+    rng = np.random.default_rng(7)
+    y = np.concatenate([rng.normal(size=(150, 2)) * s + c for s, c in ((1, 0), (3, 12), (0.2, -8))])
+    y[5] = y[6]
+    n = len(y)
+    p = np.zeros((n, n))
+    for i in range(n):
+        p[i, rng.integers(0, n, 8)] = rng.random(8)
+    np.fill_diagonal(p, 0)
+    p = (p + p.T) / (p + p.T).sum()
+    links = spark.createDataFrame([(int(i), int(j), float(p[i, j])) for i, j in zip(*np.nonzero(p), strict=True)], "a long, b long, p double")
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(y)], "id long, x double, y double").repartition(3)
+    want = exact_gradient(p, y)
+    error = {}
+    for depth in (neighbour_maps.DEPTH, 10):
+        got = np.zeros((n, 2))
+        for r in neighbour_maps.gradient(links, points, depth=depth).collect():
+            got[r["id"]] = r["gx"], r["gy"]
+        error[depth] = np.linalg.norm(got - want) / np.linalg.norm(want)
+    assert error[neighbour_maps.DEPTH] < 0.015 and error[10] < 0.015, error
+    # With cells that hold single points and no cell standing for several, it is the exact one.
+    whole = neighbour_maps.tree(points, 10)
+    force, z = whole.repulsion(y[:20], 0.0)
+    gap = y[:20, None] - y[None]
+    q0 = 1 / (1 + (gap**2).sum(-1))
+    q0[np.arange(20), np.arange(20)] = 0
+    assert np.allclose(z, q0.sum(1), rtol=1e-3) and np.allclose(force, ((q0**2)[:, :, None] * gap).sum(1), rtol=1e-2, atol=1e-2)
+
+
+def test_tsne(spark):
+    """A few steps lessen the divergence between affinities and the drawing's."""
+    x = blobs(60, 3)
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], SCHEMA).coalesce(1)
+    p = np.full((60, 60), 1e-12)
+    for r in neighbour_maps.affinities(neighbours(df, 15), 5.0).collect():
+        p[r["a"], r["b"]] = r["p"]
+
+    def divergence(steps):
+        y = np.array([r["projected"] for r in sorted(neighbour_maps.tsne(df, 5.0, steps).collect(), key=lambda r: r["id"])])
+        q0 = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(-1))
+        np.fill_diagonal(q0, 0)
+        q = np.maximum(q0 / q0.sum(), 1e-12)
+        return (p * np.log(p / q))[p > 1e-12].sum()
+
+    assert divergence(3) < divergence(0)
+    assert neighbour_maps.tsne(spark.createDataFrame([], SCHEMA)).collect() == []
