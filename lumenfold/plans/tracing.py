@@ -8,7 +8,7 @@ from lumenfold.operators import geometry as g
 from lumenfold.operators import measurements as ms
 from lumenfold.operators import traces as t
 from lumenfold.plans.inputs import STATES_SQL, states
-from lumenfold.session import read_table, shared_path
+from lumenfold.session import read_table, shared_path, spread
 
 QUERIES, ORACLES = {}, {}
 
@@ -33,7 +33,7 @@ placed AS (SELECT *, sum(length(raw) + 1) OVER (PARTITION BY id ORDER BY k) - 1
 kept AS (SELECT id, bare, (upto // 4 + 1)::INT AS token_end, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS idx, count(*) OVER (PARTITION BY id) AS n FROM placed WHERE bare <> '')
 SELECT id, idx::INT AS idx, bare AS segment, lag(token_end, 1, 0) OVER (PARTITION BY id ORDER BY idx) AS token_start, token_end, CASE WHEN idx = n - 1 THEN 'output' ELSE 'thinking' END AS kind FROM kept""")
 def segment_delimiter(spark, sf):
-    return _segments(read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "delimiter")
+    return _segments(spread(read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")), "delimiter")
 
 
 @query(r"""WITH made AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN ['First ' || doc_id || '.', 'Then more.', 'Repeat.', 'Repeat.', coalesce(text, '') || 'Done ' || source || '.'] WHEN 1 THEN [coalesce(text, '') || ' Plain answer ' || doc_id || ' '] ELSE ['Only.'] END AS p, doc_id % 3 AS kind, coalesce(text, '') AS t FROM documents),

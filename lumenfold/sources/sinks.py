@@ -5,11 +5,12 @@ Everything is written by Spark's writers, in whatever store the folder lies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.operators import evaluate
 from lumenfold.session import cut
+from lumenfold.sources.loaders import valid_response
 
 #: What the three numbers of the summary say, and what they don't.
 READING = (
@@ -77,11 +78,7 @@ def read_responses(spark: SparkSession, folder: str) -> DataFrame:
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """path, raw_response, valid: each file below a path as one response; an empty one, or one of blanks, isn't valid."""
     rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw_response"), valid_text(F.col("value")).alias("valid"))
-
-
-def valid_text(c: Column) -> Column:
-    return F.coalesce(F.regexp_replace(c, r"(?U)\s+", "") != "", F.lit(False))
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw_response"), valid_response(F.col("value")).alias("valid"))
 
 
 def save_artifact(results: DataFrame, folder: str, experiment: str) -> str:
