@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import let, running
-from lumenfold.session import read_table
+from lumenfold.session import read_table, spread
 
 #: The contract's patterns, in the order of its kinds; group whose length counts, and the least length.
 BASE = (
@@ -173,4 +173,4 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(find_secrets(read_table(spark, sf_dir, "documents")))
+    return digest(find_secrets(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))))

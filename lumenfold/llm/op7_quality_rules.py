@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.session import read_table
+from lumenfold.session import read_table, spread
 
 #: Labelled documents to learn from at most.
 SAMPLE = 6_000
@@ -192,6 +192,6 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     rules = learn_rules(docs, read_table(spark, sf_dir, "labels"))
     return judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
