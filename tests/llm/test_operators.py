@@ -177,6 +177,16 @@ def test_crowded_line(spark, sampled, monkeypatch):
         assert (got[i]["near"] == [0], got[i]["exact"] == [0]) == (line in near, line not in near and first[line] < i)
 
 
+def test_many_equal_lines_of_one_text(spark):
+    """A text is hashed and its places are looked up once, not once for each of its lines."""
+    text = "\n".join(["the same line that is long enough to count"] * 30_000 + ["the other line"])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = op3_line_dedup.remove_repeated(docs, every=True).first()
+    assert got["text"] == "the same line that is long enough to count\nthe other line" and len(got["exact"]) == 29_999 and got["near"] == []
+    plan = op3_line_dedup.lines(docs, True).select("doc_id", "th", "line")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64")
+
+
 def test_short_lines(spark, tmp_path):
     long = "a line that is long enough to be near another"
     texts = ["\n".join(["Les.", "", "All rights reserved.", "  ", "é", long]), "\n".join(["Les.", "Les!", "", "  ", "x", "é", long + "!"]), "Les.\nLes.\n\nonly here", None, ""]
