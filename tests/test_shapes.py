@@ -115,3 +115,24 @@ def test_shipped_metrics(spark):
     with pytest.raises(KeyError):
         registry.set_up(metrics.catalogue(), ["unknown"])
     assert g.neighbours is nb.neighbours
+
+
+def test_closer_vectors_are_counted_by_tiles(spark):
+    """Ranks of any pairs, among copies and ties, in blocks that are much smaller than a group."""
+    groups, pairs, wanted = {}, [], {}
+    for group, i, v in cloud():
+        if group in ("a", "b", "grid") and v is not None:
+            groups.setdefault(group, []).append((i, v))
+    rng = np.random.default_rng(2)
+    for group, points in groups.items():
+        x = np.array([v for _, v in points])
+        for a in range(0, len(points), 3):
+            d = np.sqrt(((x[a] - x) ** 2).sum(1))
+            for b in rng.choice(len(points), rng.integers(0, 4), replace=False).tolist():
+                if a != b:
+                    pairs.append((group, points[a][0], points[b][0]))
+                    wanted[group] = wanted.get(group, 0) + sum((d[c], points[c][0]) < (d[b], points[b][0]) for c in range(len(points)) if c != a)
+    ship(spark)
+    rows = spark.createDataFrame([(group, i, v) for group, points in groups.items() for i, v in points], "g string, id long, v array<double>")
+    got = nb.Blocks(rows.repartition(3), 5, 16, 4).closer(spark.createDataFrame(pairs, "g string, id long, other long"))
+    assert {r["g"]: r["closer"] for r in got.collect()} == wanted
