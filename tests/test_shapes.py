@@ -1,6 +1,7 @@
 """Neighbours by blocks, tangent spaces and the shipped metrics against NumPy."""
 
 import math
+from functools import partial
 
 import numpy as np
 import pytest
@@ -136,3 +137,26 @@ def test_closer_vectors_are_counted_by_tiles(spark):
     rows = spark.createDataFrame([(group, i, v) for group, points in groups.items() for i, v in points], "g string, id long, v array<double>")
     got = nb.Blocks(rows.repartition(3), 5, 16, 4).closer(spark.createDataFrame(pairs, "g string, id long, other long"))
     assert {r["g"]: r["closer"] for r in got.collect()} == wanted
+
+
+def test_metrics_share_neighbours(spark, monkeypatch):
+    """Neighbours of a frame are found once, whichever metrics look at them and at however many."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(60)], "id long, state array<double>")
+    alone = [metrics.local_intrinsic_dimensionality(rows, 3), metrics.local_intrinsic_dimensionality(rows, 5), metrics.connected_components(rows, 2)]
+    alone = [d.first()["value"] for d in alone]
+    calls, found = [], g.neighbours
+    monkeypatch.setattr(g, "neighbours", lambda vectors, k, *rest: calls.append(k) or found(vectors, k, *rest))
+    ready = registry.set_up(metrics.catalogue(), [{"local_intrinsic_dimensionality": {"k": [3, 5]}}, {"connected_components": {"k": 2}}])
+    assert [r["score"] for r in registry.execute(spark, ready, embedding=rows).collect()] == pytest.approx(alone, rel=1e-12) and calls == [5]
+    known = {"beta_0": partial(metrics.connected_components, k=2), "local_intrinsic_dim": partial(metrics.local_intrinsic_dimensionality, k=5)}
+    assert [m[2] for m in g.measure(rows, known, list(known))] == pytest.approx([alone[2], alone[1]], rel=1e-12) and calls == [5, 5]
+
+
+def test_parts_of_a_long_walk_take_few_rounds(spark, monkeypatch):
+    """Points in a line with their ids in its order, two lines in a group; a point without others."""
+    rows = [("a", i, [1.1 * i + (500.0 if i >= 200 else 0.0)]) for i in range(400)] + [("b", 1, [0.0])]
+    cuts = []
+    monkeypatch.setattr(g, "cut", lambda df: cuts.append(1) or cut(df))
+    got = g.connected_parts(spark.createDataFrame(rows, SCHEMA), 2)
+    assert {r["group"]: r["connected_components"] for r in got.collect()} == {"a": 2, "b": 1} and len(cuts) < 41
