@@ -72,9 +72,9 @@ def landmarks(points: DataFrame, most: int, group: str = "group", state: str = "
     """group, id, mark: the number of the landmark of each point, the nearest of at most `most` pivots of its group."""
     ship(points.sparkSession)
     kind = points.schema[group].dataType
-    ddl = f"g {kind.simpleString()}, cell string, above long, ids array<long>, x array<double>"
-    schema = nb._arrow(kind, cell=pa.string(), above=pa.int64(), ids=nb.IDS, x=nb.XS)
-    rows = points.select(F.col(group).alias("g"), F.lit("root").alias("cell"), F.lit(None).cast("long").alias("above"), F.array(F.col("id").cast("long")).alias("ids"), F.col(state).cast("array<double>").alias("x"))
+    ddl = f"g {kind.simpleString()}, cell string, above long, ids array<long>, x binary"
+    schema = nb._arrow(kind, cell=pa.string(), above=pa.int64(), ids=nb.IDS, x=pa.binary())
+    rows = nb.packed(points.select(F.col(group).alias("g"), "id", F.col(state).cast("array<double>").alias("v"))).select("g", F.lit("root").alias("cell"), F.lit(None).cast("long").alias("above"), F.array("id").alias("ids"), "x")
     packed = cut(rows.sortWithinPartitions("g").mapInArrow(nb._merged(schema, nb.BLOCK), ddl))
     offers = packed.mapInArrow(nb._offered(nb._arrow(kind, cell=pa.string(), h=pa.int64(), x=nb.XS), most, 0), f"g {kind.simpleString()}, cell string, h long, x array<double>")
     chosen = offers.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("rank") <= most)

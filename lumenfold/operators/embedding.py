@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.operators.neighbours import neighbours
+from lumenfold.operators.neighbours import listed, neighbour_lists
 from lumenfold.session import cut, ship
 
 #: Bisection ends after so many halvings, or this close to the goal; the least share of the mean distance for sigma.
@@ -55,10 +55,9 @@ def smoothed(d: np.ndarray) -> np.ndarray:
 
 
 def fuzzy_links(near: DataFrame, group: str = "group") -> DataFrame:
-    """(group, id, other, d, rank) -> group, a, b, w of the fuzzy union, each link both ways."""
+    """(group, id, other, d, rank) or (group, id, others, d) -> group, a, b, w of the fuzzy union, each link both ways."""
     ship(near.sparkSession)
-    rows = near.groupBy(F.col(group).alias("g"), F.col("id").cast("long").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("other").cast("long").alias("other"), "d"))).alias("l"))
-    rows = rows.select("g", "id", F.transform("l", lambda x: x["other"]).alias("others"), F.transform("l", lambda x: x["d"]).alias("d"))
+    rows = (near if "others" in near.columns else listed(near, group, "id")).select(F.col(group).alias("g"), "id", "others", "d")
     kind = near.schema[group].dataType.simpleString()
 
     def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +155,7 @@ def umap(vectors: DataFrame, k: int = 15, rounds: int = 8, epochs: int = 25, lea
     points = cut(vectors.select(F.lit(0).alias("group"), F.col("id").cast("long").alias("id"), F.transform(state, lambda x: x.cast("double")).alias("state")).where("id IS NOT NULL AND state IS NOT NULL"))
     if points.limit(3).count() < 3:
         return points.select("id", F.array(F.col("id") * 0.0, F.col("id") * 0.0).alias("projected"))
-    links = cut(fuzzy_links(neighbours(points, k)).select("a", "b", "w"))
+    links = cut(fuzzy_links(neighbour_lists(points, k)).select("a", "b", "w"))
     flat = pca(points, 2).select("id", F.get("projected", F.lit(0)).alias("x"), F.get("projected", F.lit(1)).alias("y"))
     wide = flat.agg(F.greatest(F.max(F.abs("x")), F.max(F.abs("y")))).first()[0] or 1.0
     start = flat.select("id", (F.col("x") * (10 / wide)).alias("x"), (F.col("y") * (10 / wide)).alias("y"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.operators.neighbours import neighbours
+from lumenfold.operators.neighbours import listed, neighbour_lists
 from lumenfold.session import cut, ship
 
 #: Halvings of the bisection; depth of the tree; how large a cell may look that stands for its points.
@@ -48,10 +48,9 @@ def conditional(d: np.ndarray, perplexity: float) -> np.ndarray:
 
 
 def affinities(near: DataFrame, perplexity: float) -> DataFrame:
-    """(id, other, d, rank) of one graph -> a, b, p, each link both ways; all of them sum up to 1."""
+    """(id, other, d, rank) or (id, others, d) of one graph -> a, b, p, each link both ways; all of them sum up to 1."""
     ship(near.sparkSession)
-    rows = near.groupBy(F.col("id").cast("long").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("other").cast("long").alias("other"), "d"))).alias("l"))
-    rows = cut(rows.select("id", F.transform("l", lambda x: x["other"]).alias("others"), F.transform("l", lambda x: x["d"]).alias("d")))
+    rows = near.select("id", "others", "d") if "others" in near.columns else cut(listed(near, "id"))
 
     def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -143,7 +142,7 @@ def tsne(vectors: DataFrame, perplexity: float = 30.0, steps: int = 60, rate: fl
     n = points.count()
     if n < 3:
         return points.select("id", F.array(F.col("id") * 0.0, F.col("id") * 0.0).alias("projected"))
-    links = cut(affinities(neighbours(points, max(2, int(3 * perplexity))), perplexity))
+    links = cut(affinities(neighbour_lists(points, max(2, int(3 * perplexity))), perplexity))
     flat = pca(points, 2).select("id", F.get("projected", F.lit(0)).alias("x"), F.get("projected", F.lit(1)).alias("y"))
     spread = flat.agg(F.stddev_pop("x")).first()[0] or 1.0
     now = cut(flat.select("id", (F.col("x") * (1e-2 / spread)).alias("x"), (F.col("y") * (1e-2 / spread)).alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy")))

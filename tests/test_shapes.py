@@ -1,15 +1,18 @@
 """Neighbours by blocks, tangent spaces and the shipped metrics against NumPy."""
 
 import math
+import os
+import re
 from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.operators import geometry as g
 from lumenfold.operators import neighbours as nb
 from lumenfold.operators import tangent
-from lumenfold.session import cut, ship
+from lumenfold.session import cut, shared_dir, ship
 from lumenfold.sources import metrics, registry
 
 SCHEMA = "group string, id int, state array<double>"
@@ -160,3 +163,27 @@ def test_parts_of_a_long_walk_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(g, "cut", lambda df: cuts.append(1) or cut(df))
     got = g.connected_parts(spark.createDataFrame(rows, SCHEMA), 2)
     assert {r["group"]: r["connected_components"] for r in got.collect()} == {"a": 2, "b": 1} and len(cuts) < 41
+
+
+def test_neighbours_in_waves_leave_nothing_behind(spark, monkeypatch):
+    """More tiles than cores go in waves; vectors of which most have more copies than are asked for; no table and no shuffle of a step stays."""
+    monkeypatch.setattr(nb, "TILE_BYTES", 1000)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3)).round(1)
+    rows = [("a", i, x[i % 90].tolist()) for i in range(300)] + [("a", 300 + i, x[7].tolist()) for i in range(40)] + [("b", i, [1.5, float(i)]) for i in range(12)]
+    before = set(os.listdir(shared_dir(spark)))
+    points = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["group"], r["id"], r["other"], r["rank"]) for r in nb.neighbours(points, 5, block=16, fan=4).collect())
+    assert got == nearest(rows, 5)
+    left = [name for name in set(os.listdir(shared_dir(spark))) - before if re.match("vectors-|cells-|levels-|blocks-", name)]
+    assert left == []
+    lists = nb.neighbour_lists(points, 5)
+    assert sorted((r["group"], r["id"], o, n + 1) for r in lists.collect() for n, o in enumerate(r["others"])) == got
+
+
+def test_a_cut_leaves_no_shuffle(spark):
+    store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in store.getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+    before = shuffles()
+    few = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not shuffles() - before and few.count() == 7
