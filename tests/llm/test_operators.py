@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -583,3 +584,15 @@ def test_pipeline(spark, docs, empty, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length"), F.count_distinct("doc_id")).first() == want
     left = [x for x in os.listdir(shared_dir(spark)) if x.split("-")[0] in dict(corpus_pipeline.STAGES)]
     assert [x.split("-")[0] for x in left] == ["decontamination"]
+
+
+def test_packing_keeps_the_large_table(monkeypatch):
+    """Packing by itself has the table of the token files, and another where it is told so."""
+    from lumenfold.llm import tokens
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array([1, 2]), pa.array(["some words", None])], ["part", "doc_id", "text"])
+    sizes, found = [], tokens.encoder
+    monkeypatch.setattr(tokens, "encoder", lambda path, pieces=tokens.PIECES: sizes.append(pieces) or found(path, 100))
+    for table in ({}, {"table": 7}):
+        assert sum(b.num_rows for b in op1_packing._packer(None, 1024, 10**6, 0, **table)(iter([batch]))) == 2
+    assert sizes == [op4_token_files.PIECES, 7]
