@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.operators import neighbours as nb
-from lumenfold.session import cut, ship
+from lumenfold.session import clean_cut as cut
+from lumenfold.session import ship
 
 #: Kernel values below this are 0; added to probabilities before the logarithm; landmarks of a group.
 LEAST, FLOOR, LANDMARKS = 1e-4, 1e-7, 500

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.operators.neighbours import listed, neighbour_lists
-from lumenfold.session import cut, ship
+from lumenfold.session import clean_cut as cut
+from lumenfold.session import ship
 
 #: Bisection ends after so many halvings, or this close to the goal; the least share of the mean distance for sigma.
 HALVINGS, CLOSE, LEAST_SIGMA = 64, 1e-5, 1e-3

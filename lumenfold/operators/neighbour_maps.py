@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.operators.neighbours import listed, neighbour_lists
-from lumenfold.session import cut, ship
+from lumenfold.session import clean_cut as cut
+from lumenfold.session import ship
 
 #: Halvings of the bisection; depth of the tree; how large a cell may look that stands for its points.
 HALVINGS, DEPTH, THETA = 60, 8, 0.5

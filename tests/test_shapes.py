@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenfold.operators import geometry as g
 from lumenfold.operators import neighbours as nb
 from lumenfold.operators import tangent
-from lumenfold.session import cut, shared_dir, ship
+from lumenfold.session import clean_cut, cut, shared_dir, ship
 from lumenfold.sources import metrics, registry
 
 SCHEMA = "group string, id int, state array<double>"
@@ -185,5 +185,5 @@ def test_a_cut_leaves_no_shuffle(spark):
     store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffles = lambda: {f for f in store.getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
     before = shuffles()
-    few = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    few = clean_cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     assert not shuffles() - before and few.count() == 7
