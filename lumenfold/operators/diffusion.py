@@ -35,6 +35,8 @@ from lumenfold.session import ship
 LEAST, FLOOR, LANDMARKS = 1e-4, 1e-7, 500
 #: Rounds of stress majorisation, and the share of the stress that one must take off for there to be another.
 ROUNDS, GAIN = 300, 1e-6
+#: Rows of a product that a task makes, about, and products of two entries that it has at once.
+ROWS, PAIRS = 8192, 2_000_000
 
 
 def decaying(near: DataFrame, k: int, alpha: float, group: str = "group") -> DataFrame:
@@ -63,10 +65,50 @@ def markov(kernel: DataFrame, group: str = "group") -> DataFrame:
     return kernel.join(total, [group, "a"]).select(group, "a", "b", (F.col("w") / F.col("total")).alias("p"))
 
 
-def product(left: DataFrame, right: DataFrame, group: str = "group") -> DataFrame:
-    """The product of two sparse matrices (group, a, b, p), by group."""
-    inner = left.select(group, "a", F.col("b").alias("x"), F.col("p").alias("p1")).join(right.select(group, F.col("a").alias("x"), "b", F.col("p").alias("p2")), [group, "x"])
-    return inner.groupBy(group, "a", "b").agg(F.sum(F.col("p1") * F.col("p2")).alias("p"))
+def product(left: DataFrame, right: DataFrame, group: str = "group", block: int = ROWS) -> DataFrame:
+    """The product of two sparse matrices (group, a, b, p), by group.
+
+    A task makes a block of the result's rows: it gets these rows of the left matrix and of the right one each row that
+    they need, once a block and not once for each step that leads through it.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+    sizes = left.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count_distinct("a").alias("n"))
+    own = left.withColumnRenamed(group, "g").join(sizes, "g").select("g", "a", F.col("b").alias("x"), "p", F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("n") / block))).alias("block"))
+    lists = right.select(F.col(group).alias("g"), F.col("a").alias("x"), F.struct("b", "p").alias("s")).groupBy("g", "x").agg(F.collect_list("s").alias("l"))
+    lists = lists.select("g", "x", F.col("l.b").alias("bs"), F.col("l.p").alias("ps"))
+    needed = own.select("g", "block", "x").distinct().join(lists, ["g", "x"]).select(F.col("g").alias("h"), F.col("block").alias("part"), F.col("x").alias("at"), "bs", "ps")
+
+    def multiply(rows: pd.DataFrame, columns: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
+        if not len(rows) or not len(columns):
+            return
+        rows, place = rows.sort_values("a", kind="stable"), pd.Index(columns["at"])
+        n = columns["bs"].map(len).to_numpy()
+        begin, bs, ps = np.cumsum(n) - n, np.concatenate(columns["bs"].to_numpy()), np.concatenate(columns["ps"].to_numpy())
+        at = place.get_indexer(rows["x"])
+        rows, at = rows[at >= 0], at[at >= 0]
+        a, p, many = rows["a"].to_numpy(), rows["p"].to_numpy(), n[at]
+        ends = np.append(np.flatnonzero(a[1:] != a[:-1]) + 1, len(a))
+        start = 0
+        while start < len(a):  # whole rows of the result, some PAIRS products at once
+            over = np.searchsorted(np.cumsum(many[start:])[ends[ends > start] - 1 - start], PAIRS, "right")
+            stop = ends[ends > start][max(0, over - 1)]
+            m = many[start:stop]
+            entry = np.repeat(begin[at[start:stop]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            to, w, of = bs[entry], ps[entry] * np.repeat(p[start:stop], m), np.repeat(a[start:stop], m)
+            order = np.lexsort((to, of))
+            to, of, w = to[order], of[order], w[order]
+            first = np.flatnonzero(np.append(True, (to[1:] != to[:-1]) | (of[1:] != of[:-1]))) if len(to) else np.zeros(0, int)
+            if len(first):
+                yield of[first], to[first], np.add.reduceat(w, first)
+            start = stop
+
+    def multiplied(rows: pd.DataFrame, columns: pd.DataFrame) -> pd.DataFrame:
+        found = list(multiply(rows, columns))
+        a, b, p = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, t) for t in (int, int, float))
+        return pd.DataFrame({"g": pd.Series([rows["g"].iloc[0]] * len(a), dtype=object if kinds[group] == "string" else None), "a": a, "b": b, "p": p})
+
+    both = own.groupBy("g", "block").cogroup(needed.groupBy("h", "part"))
+    return both.applyInPandas(multiplied, f"g {kinds[group]}, a {kinds['a']}, b {dict(right.dtypes)['b']}, p double").withColumnRenamed("g", group)
 
 
 def landmarks(points: DataFrame, most: int, group: str = "group", state: str = "state") -> DataFrame:

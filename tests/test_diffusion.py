@@ -82,3 +82,20 @@ def test_scaling():
     out = df_.scaled(d, 2)
     assert np.allclose(np.sqrt(((out[:, None] - out[None]) ** 2).sum(-1)), d, atol=1e-6)
     assert df_.scaled(np.zeros((3, 3)), 2).tolist() == [[0.0, 0.0]] * 3
+
+
+def test_product_sends_rows_once_a_block(spark, monkeypatch):
+    """Blocks and rounds much smaller than a group; entries without a partner, a null group, a group that one side lacks."""
+    monkeypatch.setattr(df_, "PAIRS", 50)
+    rng = np.random.default_rng(4)
+    x, y = ((rng.random((60, 60)) < 0.1) * rng.random((60, 60)) for _ in range(2))
+    frame = lambda m, g: [(g, int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))]  # noqa: B905, E731
+    schema = "group string, a long, b long, p double"
+    left = spark.createDataFrame(frame(x, "s") + frame(x[:3], "t") + frame(x[:3], None), schema)
+    right = spark.createDataFrame(frame(y, "s") + frame(y[:3], "u") + frame(y[:3], None), schema)
+    made = df_.product(left, right, block=8)
+    got = made.collect()
+    want = x @ y
+    assert {r["group"] for r in got} == {"s"} and len(got) == np.count_nonzero(want)
+    assert all(abs(r["p"] - want[r["a"], r["b"]]) < 1e-12 for r in got)
+    assert "CoGroup" in made._jdf.queryExecution().executedPlan().toString()
