@@ -1,11 +1,15 @@
 """UMAP: weights against brute force, the curve, and layouts that keep neighbourhoods."""
 
 import math
+import os
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lumenfold.operators import embedding, geometry, neighbour_maps
 from lumenfold.operators.neighbours import neighbours
+from lumenfold.session import Stored, shared_dir
 
 SCHEMA = "group int, id long, state array<double>"
 
@@ -142,3 +146,78 @@ def test_tsne(spark):
 
     assert divergence(3) < divergence(0)
     assert neighbour_maps.tsne(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_layout_takes_little_disk(spark):
+    """Waves of blocks give what one wave does; what they take of the disk goes, and shuffled links are a wave's."""
+    rng = np.random.default_rng(4)
+    n, folder = 600, shared_dir(spark)
+    pairs = {(int(a), int(b)): float(w) for a, b, w in zip(rng.integers(0, n, 4000), rng.integers(0, n, 4000), rng.random(4000) + 0.01, strict=True) if a != b}
+    # One direction each, points without links, links to and from points that have no place, wide and negative ids.
+    wide = [i if i % 50 else (i + 1) * -(1 << 40) for i in range(n)]
+    links = spark.createDataFrame([(wide[a], wide[b], w) for (a, b), w in pairs.items()] + [(1, 10**9, 1.0), (10**9, 2, 1.0), (None, 3, 1.0)], "a long, b long, w double").where("a % 7 != 3")
+    start = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in zip(wide, rng.normal(size=(n, 2)), strict=True)], "id long, x double, y double").repartition(3)
+    before = set(os.listdir(folder))
+    got = [sorted(map(tuple, embedding.layout(links, start, 2, 3, block=25).collect()))]
+    assert not {f.split("-")[0] for f in set(os.listdir(folder)) - before} & {"start", "places", "links"}
+    turns, embedding.TURNS = embedding.TURNS, 100
+    try:
+        got.append(sorted(map(tuple, embedding.layout(links, start, 2, 3, block=25).collect())))
+    finally:
+        embedding.TURNS = turns
+    assert got[0] == got[1] == sorted(by_links(links.collect(), start.collect(), spark, 2, 3, 25))
+
+
+def by_links(links, start, spark, rounds, epochs, block):
+    """The layout with a row a link and all positions at hand."""
+    now = {r["id"]: np.array([r["x"], r["y"]]) for r in start}
+    blocks = -(-len(now) // block)
+    hashed = lambda turn: [r["id"] for r in spark.createDataFrame([(i,) for i in now], "id long").orderBy(F.xxhash64("id", F.lit(turn))).limit(embedding.SAMPLE).collect()]
+    of = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in now], "id long").select("id", F.pmod(F.xxhash64("id"), F.lit(blocks))).collect()}
+    a, b = embedding.curve()
+    top = max(r["w"] for r in links if r["a"] is not None)
+    for turn in range(rounds):
+        sample, after = np.array([now[i] for i in hashed(turn)]), dict(now)
+        alphas = [1 - (turn * epochs + i) / (rounds * epochs) for i in range(epochs)]
+        for one in range(blocks):
+            own = sorted((r["a"], r["b"], r["w"]) for r in links if r["a"] in now and r["b"] in now and of[r["a"]] == one)
+            ids = sorted({r[0] for r in own})
+            if not ids:
+                continue
+            place = {i: n for n, i in enumerate(ids)}
+            rng = np.random.default_rng([turn, ids[0] & 0xFFFFFFFF])
+            y = embedding._epochs(np.array([now[i] for i in ids]), np.array([place[r[0]] for r in own]), np.array([place.get(r[1], -1) for r in own]), np.array([now[r[1]] for r in own]), np.array([r[2] / top for r in own]), sample, a, b, alphas, rng)
+            after |= dict(zip(ids, y, strict=True))
+        now = after
+    return [(i, *map(float, at)) for i, at in now.items()]
+
+
+def test_umap_shuffles_no_positions_with_links(spark, monkeypatch):
+    """A round sends packed blocks: no shuffle of it has a row a link."""
+    seen, run = [], embedding.Waves.__init__
+
+    def watched(self, waves, of, label):
+        def kept(wave):
+            seen.append((label, (df := of(wave))._jdf.queryExecution().optimizedPlan().toString()))
+            return df
+
+        run(self, waves, kept, label)
+
+    monkeypatch.setattr(embedding.Waves, "__init__", watched)
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(blobs(60))], SCHEMA)
+    assert embedding.umap(df, 5, 2, 2, block=2).count() == 60
+    assert len([1 for label, _ in seen if label == "links"]) == 2
+    rounds = [plan for label, plan in seen if label == "places"][1:]
+    assert len(rounds) == 4 and not any("Join" in plan for plan in rounds)
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in str(disk.getAllFiles().mkString(",")).split(",") if "shuffle_" in f}
+    before = files()
+    one = Stored(spark.range(100_000).repartition(3, "id"), "shuffled")
+    until = time.time() + 10  # they go by a message
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and one.df.count() == 100_000
+    one.drop()
