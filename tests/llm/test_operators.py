@@ -596,3 +596,19 @@ def test_packing_keeps_the_large_table(monkeypatch):
     for table in ({}, {"table": 7}):
         assert sum(b.num_rows for b in op1_packing._packer(None, 1024, 10**6, 0, **table)(iter([batch]))) == 2
     assert sizes == [op4_token_files.PIECES, 7]
+
+
+def test_encoder_learns_marks_and_line_ends():
+    """Words with any marks behind them, and those about a line's end, have the tokenizer's ids, and need no new words of
+    the pattern but the marks and what follows the line's end."""
+    from lumenfold.llm import tokens
+
+    own = tokens.TextEncoder(op4_token_files.tokenizer_path())
+    rng = np.random.default_rng(3)
+    parts = ["word", "Erheed", "déjà", "слово", "x9", "don't", "'s", "'", "_", "$$$", ".", ",", "!!", ".%%%", "\n", "\n\n", "\r\n", "\t", "\x85", "\x1c", "\u00a0", " ", " ", " ", "  ", "İ", "ª", "²"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(1, 12)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.whole.encode(text, add_special_tokens=False).ids, text
+    fresh = tokens.TextEncoder(op4_token_files.tokenizer_path())
+    fresh.encode("a abc$$$ defg.\nHijk lmno!!\npqrs")
+    assert set(fresh.words) == {"a", "$$$", ".", "Hijk", "!!", "pqrs"}
