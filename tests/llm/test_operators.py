@@ -8,6 +8,7 @@ import random
 import re
 import tempfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -451,6 +452,31 @@ def test_near_cluster(spark, block, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in op10_near_dedup.near_duplicates(df).collect()} == root
 
 
+def test_near_waves(spark, monkeypatch):
+    """Near copies with pairs, sets and blocks in two waves, sketches in parts by print: the same components."""
+    for name, value in {"BLOCK": 40, "BUCKET_ROWS": 80, "waves": lambda *bytes_: 2}.items():
+        monkeypatch.setattr(op10_near_dedup, name, value)
+    rnd = random.Random(12)
+    texts = [["".join(rnd.choices("abcdefgh", k=6)) for _ in range(60)] for _ in range(40)]
+    for k in range(120):
+        own = [f"w{i}" for i in range(220)]
+        for _ in range(rnd.choice([1, 2, 4, 5, 6])):
+            own[rnd.randrange(len(own))] = f"x{k}y{rnd.randrange(10**6)}"
+        texts.append(own)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in enumerate(texts)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in op10_near_dedup.near_duplicates(df).collect()} == near_roots(sets)
+
+
+def test_near_disk(spark):
+    """No table of sketches stays in the shared folder; there were three."""
+    used = lambda: sum(f.stat().st_size for f in Path(shared_dir(spark).removeprefix("file:")).rglob("*") if f.is_file())
+    before, n = used(), 6000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.md5(F.concat_ws("-", "id", i))), " ").alias("text"))
+    assert op10_near_dedup.near_duplicates(docs).where("kept").count() == n
+    assert used() - before < n * 4 * op10_near_dedup.COORDINATES
+
+
 def test_near_recall(spark):
     """Pairs at the threshold, alone: the share found is the target's, and the trees follow from it."""
     assert op10_near_dedup.trees_for(0.9) < op10_near_dedup.trees_for(0.9999) and 0.5 < op10_near_dedup.survival(85, 5) < 0.7
