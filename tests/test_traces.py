@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import geometry as g
 from lumenfold.operators import measurements as m
+from lumenfold.operators import neighbours
 from lumenfold.operators import traces as t
 
 
@@ -212,3 +213,18 @@ def test_peaks_are_linear_and_as_defined():
         for least, apart in ((0.0, 1), (1.0, 5), (2.5, 3), (0.3, 2)):
             assert t.peaks(v, least, apart).tolist() == plain(v.tolist(), least, apart)
     assert len(t.peaks(rng.random(400_000), 0.5, 5)) > 10_000
+
+
+def test_centres_in_steps(spark, monkeypatch):
+    """Centres go to the executors a bounded number at once, and no pair of blocks is lost for it."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(96, 2)).round(3)
+    points = spark.createDataFrame([("g", i, v.tolist()) for i, v in enumerate(x)], "g string, id long, v array<double>")
+    monkeypatch.setattr(neighbours, "SENT_BYTES", 5_000, raising=False)
+    sent = []
+    monkeypatch.setattr(neighbours.F, "broadcast", lambda df, f=F.broadcast: {"c", "nc"} & set(df.columns) and sent.append(df.count()) or f(df))
+    blocks = neighbours.Blocks(points, 2, 8, 8)
+    near = {(r["id"], r["other"]) for r in blocks.nearest().collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2) + np.diag(np.full(96, np.inf))
+    assert near == {(i, int(j)) for i in range(96) for j in np.lexsort((np.arange(96), d[i]))[:2]}
+    assert len(sent) > 2 and max(sent) * (8 * 2 + 200) < 1.5 * 5_000
